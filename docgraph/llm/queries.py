@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgraph.llm import simhash
+from docgraph.llm import mixing, simhash
 from docgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +16,9 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_simhash_bktree": op1_simhash_bktree}
-ORACLES: dict[str, str] = {}
+def op6_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_bktree, op6_sainte_lague_mixing)}
+ORACLES: dict[str, str] = {"op6_sainte_lague_mixing": mixing.oracle()}
