@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgraph.llm import mixing, simhash
+from docgraph.llm import mixing, recompress, repeats, simhash, suffix
 from docgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +20,25 @@ def op6_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_bktree, op6_sainte_lague_mixing)}
-ORACLES: dict[str, str] = {"op6_sainte_lague_mixing": mixing.oracle()}
+def op2_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.repeated_substrings(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_simhash_bktree,
+        op2_suffix_radix_dedup,
+        op4_recompression_dedup,
+        op6_sainte_lague_mixing,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op2_suffix_radix_dedup": repeats.oracle(),
+    "op4_recompression_dedup": repeats.oracle(),
+    "op6_sainte_lague_mixing": mixing.oracle(),
+}
