@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgraph.llm import mixing, recompress, repeats, simhash, suffix
+from docgraph.llm import mixing, recompress, repeats, simhash, suffix, toxicity
 from docgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.repeated_substrings(table(spark, sf_dir, "documents"))
 
 
+def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -35,6 +39,7 @@ QUERIES: dict[str, Query] = {
         op2_suffix_radix_dedup,
         op4_recompression_dedup,
         op6_sainte_lague_mixing,
+        op7_string_kernel_toxicity,
     )
 }
 ORACLES: dict[str, str] = {
