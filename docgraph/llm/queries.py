@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgraph.llm import mixing, recompress, repeats, simhash, suffix, toxicity
+from docgraph.llm import mixing, recompress, repeats, secrets, simhash, suffix, toxicity
 from docgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.repeated_substrings(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_simhash_bktree,
         op2_suffix_radix_dedup,
+        op3_randomness_secrets,
         op4_recompression_dedup,
         op6_sainte_lague_mixing,
         op7_string_kernel_toxicity,
