@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgraph.llm import mixing, recompress, repeats, secrets, simhash, suffix, toxicity
+from docgraph.llm import decontaminate, mixing, recompress, repeats, secrets, simhash, suffix, toxicity
 from docgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -45,6 +49,7 @@ QUERIES: dict[str, Query] = {
         op4_recompression_dedup,
         op6_sainte_lague_mixing,
         op7_string_kernel_toxicity,
+        op8_latent_decontamination,
     )
 }
 ORACLES: dict[str, str] = {
