@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgraph.llm import decontaminate, mixing, recompress, repeats, secrets, simhash, suffix, toxicity
+from docgraph.llm import decontaminate, mixing, rabitq, recompress, repeats, secrets, simhash, suffix, toxicity, warc
 from docgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_rabitq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,12 @@ def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_warc_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold one replica; the other is made by warc.damaged."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(pages, warc.damaged(pages))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -47,13 +57,17 @@ QUERIES: dict[str, Query] = {
         op2_suffix_radix_dedup,
         op3_randomness_secrets,
         op4_recompression_dedup,
+        op5_rabitq_embeddings,
         op6_sainte_lague_mixing,
         op7_string_kernel_toxicity,
         op8_latent_decontamination,
+        op9_warc_merkle_fixity,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_suffix_radix_dedup": repeats.oracle(),
     "op4_recompression_dedup": repeats.oracle(),
+    "op5_rabitq_embeddings": rabitq.oracle(),
     "op6_sainte_lague_mixing": mixing.oracle(),
+    "op9_warc_merkle_fixity": warc.oracle(),
 }
