@@ -7,10 +7,11 @@ pairs of a left and a right symbol are joined; such pairs never overlap. A symbo
 round's cap.
 
 What a round does to two symbols depends on these alone, except at the ends of a repeated passage: there a run or a
-pair may reach out of it. Each round so spoils at most a run and then a symbol at either end, each of at most the
-round's cap of words, and after the rounds of CAPS all symbols that lie LOSS words inside an occurrence of the passage
-are the same at every occurrence. Every window of 50 words holds such a symbol. The one with the least hash is the
-window's anchor: shared symbols reveal the repeats, and the windows around them are compared in repeats.equal_windows.
+pair may reach out of it. Each round so spoils at either end at most a run, of the round's cap of words, and then a
+symbol that joins one outside, of a word less. After the rounds of CAPS all symbols that lie LOSS words inside an
+occurrence of the passage are the same at every occurrence, and every window of 50 words holds TOGETHER such symbols in
+a row. Among these the ones with the least hash are the window's anchor: shared symbols reveal the repeats, and the
+windows around them are compared in repeats.equal_windows.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from docgraph.llm import repeats
 from docgraph.llm import tokens as tk
 
 CAPS = (2, 3, 4)
-LOSS = 2 * sum(CAPS)
-LAST = repeats.LENGTH - LOSS - CAPS[-1]
-assert LAST - LOSS + 1 >= CAPS[-1], "a window must hold a symbol that is safe from its surroundings"
+TOGETHER = 3
+LOSS = sum(2 * c - 1 for c in CAPS)
+LAST = repeats.LENGTH - LOSS - TOGETHER * CAPS[-1]
+assert LAST - LOSS + 1 >= CAPS[-1], "a window must hold symbols that are safe from its surroundings"
 
 
 def symbols(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +62,9 @@ def symbols(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def symbol_candidates(w: tk.Words) -> tuple[np.ndarray, np.ndarray, int, int]:
     hashes, has = np.zeros(len(w.hash), np.uint64), np.zeros(len(w.hash), bool)
     name, at, _ = symbols(w)
-    hashes[at], has[at] = name, True
+    first = np.arange(max(0, len(name) - TOGETHER + 1))
+    hashes[at[first]] = tk.window_hash(name, tk.WORD_BASE, first, first + TOGETHER)
+    has[at[first]] = True
     return hashes, has, LOSS, LAST
 
 
