@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgraph.llm import decontaminate, mixing, rabitq, recompress, repeats, secrets, simhash, suffix, toxicity, warc
+from docgraph.llm import decontaminate, mixing, pii, rabitq, recompress, repeats, secrets, simhash, suffix, toxicity, warc
 from docgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op9_warc_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(pages, warc.damaged(pages))
 
 
+def op10_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
         op7_string_kernel_toxicity,
         op8_latent_decontamination,
         op9_warc_merkle_fixity,
+        op10_bilstm_crf_pii,
     )
 }
 ORACLES: dict[str, str] = {
