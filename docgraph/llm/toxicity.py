@@ -105,8 +105,9 @@ def score_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, weights: n
     of, at, n = np.concatenate(of), np.concatenate(at), np.concatenate(n)
     for size_ in np.unique(n).tolist():
         group = np.flatnonzero(n == size_)
-        for low in range(0, len(group), 50_000):
-            g = group[low : low + 50_000]
+        step = max(64, 1_500_000 // (size_ + 2) ** 2)  # self_kernel holds two arrays of this many values
+        for low in range(0, len(group), step):
+            g = group[low : low + step]
             c = np.empty((len(g), size_ + 2), np.uint8)
             c[:, 0], c[:, -1] = BEGIN, END
             c[:, 1:-1] = codes[at[g][:, None] + np.arange(size_)]
@@ -241,7 +242,10 @@ def _witnesses(u: Units, context: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     vocabulary, index = np.unique(u.hash, return_inverse=True)
 
     def distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bincount(np.unique(np.stack([a, b]), axis=1)[0].astype(np.int64), minlength=len(vocabulary)) if len(a) else np.zeros(len(vocabulary), np.int64)
+        if not len(a):
+            return np.zeros(len(vocabulary), np.int64)
+        _, first = np.unique(tk.mix(a ^ tk.mix(b, 21), 22), return_index=True)
+        return np.bincount(a[first].astype(np.int64), minlength=len(vocabulary))
 
     support = np.minimum(distinct(index[is_tox].astype(np.uint64), context[is_tox]), distinct(index[is_tox].astype(np.uint64), u.doc[is_tox].astype(np.uint64)))
     clean = distinct(index[~is_tox].astype(np.uint64), u.doc[~is_tox].astype(np.uint64))
@@ -269,8 +273,10 @@ def _witnesses(u: Units, context: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
     """The machine from labelled texts. With no toxic example or no witness it rejects nothing."""
     none = Model(np.zeros(A**3), -1.0, 0.0)
-    _, first = np.unique(np.array(texts, object).astype(str) if texts else np.array([], str), return_index=True)
-    first = np.sort(first)
+    place: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        place.setdefault(t, i)
+    first = list(place.values())
     texts, toxic = [texts[i] for i in first], np.asarray(toxic, bool)[first]
     if not toxic.any() or toxic.all():
         return none
