@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,9 +61,24 @@ def recursive_chunks(df: DataFrame, size: int = 1000, overlap: int = 100, conten
     return parts.select(F.concat_ws("_part_", F.col(id_col).cast("string"), "part_index").alias("chunk_id"), id_col, "part_index", "content")
 
 
-def interval_chunks(records: DataFrame, intervals: DataFrame, scope: list[str], time: str, order: list[str], text: str) -> DataFrame:
-    """Groups of records by half-open chapters (title, start_time, end_time); records between chapters stay in the open one."""
-    joined = records.join(F.broadcast(intervals), (F.col(time) >= F.col("start_time")) & (F.col(time) < F.col("end_time")), "left")
+#: Chapters up to this number are broadcast; more are joined by time bins.
+BROADCAST_ROWS = 10_000
+
+
+def interval_chunks(records: DataFrame, intervals: DataFrame, scope: list[str], time: str, order: list[str], text: str, bins: int = 1000) -> DataFrame:
+    """Groups of records by half-open chapters (title, start_time, end_time); records between chapters stay in the open one.
+
+    A few chapters are broadcast; where they are many, both sides are cut into time bins and joined by those.
+    """
+    c, inside = F.col, (F.col(time) >= F.col("start_time")) & (F.col(time) < F.col("end_time"))
+    if len(intervals.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+        joined = records.join(F.broadcast(intervals), inside, "left")
+    else:
+        low, high = intervals.agg(F.min("start_time"), F.max("end_time")).first()
+        width = max((float(high) - float(low)) / bins, 1e-9)
+        at = lambda x: F.floor((x - F.lit(float(low))) / width)
+        cut = intervals.withColumn("__b", F.explode(F.sequence(at(c("start_time")), at(c("end_time")))))
+        joined = records.withColumn("__b", at(c(time))).join(cut.withColumnRenamed("__b", "__c"), (c("__b") == c("__c")) & inside, "left").drop("__b", "__c")
     carried = F.last("title", ignorenulls=True).over(Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return record_groups(joined.withColumn("title", carried), [*scope, "title"], time, order, text)
 
@@ -92,12 +108,21 @@ def markdown_chunks(df: DataFrame, size: int = 1000, content: str = "content", i
     return df.select(id_col, F.explode(split(F.col(content))).alias("c")).select(id_col, "c.*")
 
 
-def histogram(sentence: Column, bins: int = 10) -> Column:
-    """Of a sentence's character codes modulo ``bins``, of length one."""
-    codes = F.transform(F.split(sentence, ""), lambda x: F.ascii(x) % bins)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(codes, lambda x: x == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
+def histogram(bins: int = 10) -> Callable[[Column], Column]:
+    """A pandas UDF from texts to histograms, of length one, of their character codes modulo ``bins``.
+
+    Built-in functions can count them too, but need an array of all characters for each bin: 80 times the time.
+    """
+
+    @F.pandas_udf("array<double>")
+    def count(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> np.ndarray:
+            n = np.bincount(np.frombuffer((t or "").encode("utf-32-le"), np.uint32) % bins, minlength=bins).astype(float)
+            return n / max(np.linalg.norm(n), 1e-300)
+
+        return texts.map(one)
+
+    return count
 
 
 def semantic_chunks(df: DataFrame, threshold: float = 0.5, content: str = "content", id_col: str = "doc_id") -> DataFrame:
@@ -107,7 +132,7 @@ def semantic_chunks(df: DataFrame, threshold: float = 0.5, content: str = "conte
     """
     sentences = df.select(id_col, F.posexplode(F.split(F.replace(F.col(content), F.lit("\n"), F.lit(". ")), r"\. ")).alias("i", "sentence")).withColumn("sentence", tx.strip("sentence")).where("sentence <> ''")
     order = Window.partitionBy(id_col).orderBy("i")
-    vectors = sentences.withColumn("v", histogram(F.col("sentence")))
+    vectors = sentences.withColumn("v", histogram()(F.col("sentence")))
     before = F.lag("v").over(order)
     like = F.aggregate(F.zip_with("v", "b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     marked = vectors.withColumn("b", before).withColumn("new", F.when(F.col("b").isNull(), 0).when(F.round(like, 9) < threshold, 1).otherwise(0))
