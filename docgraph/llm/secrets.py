@@ -1,6 +1,7 @@
 """Secret scans by a battery of randomness tests with false-discovery control.
 
-A candidate is a run of at least MIN_LENGTH characters of [A-Za-z0-9+/=_-], without '=', '-' and '_' at its ends. Its
+A candidate is a run of at least MIN_LENGTH characters of [A-Za-z0-9+/_-], without '-' and '_' at its ends ('=' parts a
+name from its value, and pads). Its
 encoding is the smallest alphabet that holds it: decimal, hexadecimal, base32 or base64; hyphens between hexadecimal or
 decimal digits are passed over, as in UUIDs. A candidate has room for at least MIN_BITS bits in its encoding: shorter
 numbers, such as those of cards and orders, may be as random as they like without being keys.
@@ -36,9 +37,9 @@ CLASSES = 24
 ALPHABETS = {"decimal": b"0123456789", "hex": b"0123456789abcdef", "base32": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 NAMES = tuple(ALPHABETS)
 _CHARS = np.zeros(256, bool)
-_CHARS[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/=_-"]] = True
+_CHARS[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
 _TRIM = np.zeros(256, bool)
-_TRIM[[*b"=-_"]] = True
+_TRIM[[*b"-_"]] = True
 
 
 def _set(chars: bytes) -> np.ndarray:
@@ -52,7 +53,7 @@ _INDEX = np.full((4, 256), -1)
 for _i, _name in enumerate(NAMES):
     _INDEX[_i, [*ALPHABETS[_name]]] = np.arange(len(ALPHABETS[_name]))
 _INDEX[1, [*b"ABCDEF"]] = np.arange(10, 16)
-_INDEX[3, [*b"-_="]] = 62, 63, 62
+_INDEX[3, [*b"-_"]] = 62, 63
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
