@@ -399,7 +399,7 @@ def _score(docs: DataFrame, model: Model, columns: list[str], keep_toxic: bool,
                 else:
                     yield part.filter(pa.array(~bad))
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
