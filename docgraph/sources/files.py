@@ -11,6 +11,7 @@ from urllib.parse import urldefrag, urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docgraph.functions.text import col
@@ -156,7 +157,7 @@ def hrefs(html: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(col(html), F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'#]+)"""), F.lit(1)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def resolve(base: pd.Series, found: pd.Series) -> pd.Series:
     """Addresses made absolute against their page's; only those of the web stay."""
     return pd.Series([[u for x in (h if h is not None else []) if (u := urldefrag(urljoin(b or "", x))[0]).startswith("http")] for b, h in zip(base, found, strict=True)])

@@ -69,7 +69,7 @@ def mail_body(raw: bytes | str) -> dict[str, str | None]:
     return {"subject": m["subject"] and str(m["subject"]), "sender": m["from"] and str(m["from"]), "date": m["date"] and str(m["date"]), "body": html if html is not None else plain}
 
 
-@F.pandas_udf("subject string, sender string, date string, body string")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "sender", "date", "body")]))
 def parse_mail(raw: pd.Series) -> pd.DataFrame:
     """mail_body() of raw messages; nulls for what can't be read."""
     rows = []
