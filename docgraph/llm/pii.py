@@ -238,8 +238,9 @@ def train(texts: list[str], steps: int = STEPS, seed: int = 0) -> Model:
 
 
 def fit(docs: DataFrame, background: int = BACKGROUND) -> Model:
-    chosen = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select(F.substring("text", 1, 4000).alias("text")).limit(background)
-    return train([r["text"] for r in chosen.collect()])
+    ids = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(background)
+    chosen = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id").distinct()  # ids are at most ``background``
+    return train([r["text"] for r in chosen.orderBy("doc_id", "text").collect()])
 
 
 class Decoder:
