@@ -238,3 +238,39 @@ def test_streams(spark, tmp_path):
     assert got == {(1, 0, 2, 3.0), (1, 1, 1, 3.0)}  # the last window stays open
     with pytest.raises(ValueError):
         refine.chain(spark.createDataFrame([("a",)], "content string"), ["nothing"])
+
+
+def test_recipes(spark):
+    from docgraph.plans import recipes
+
+    nodes, edges = recipes.normal(spark.createDataFrame([(1, "one two. " * 40), (2, None), (3, "one two. " * 40)], "doc_id int, content string"), 100, 0)
+    n = nodes.count()
+    assert n > 3 and edges.count() == 2 * (n - 1)
+    nodes, _, failures = recipes.standard(spark.createDataFrame([("a.docx", DOCX), ("e.pdf", b"%PDF")], "path string, content binary"))
+    assert nodes.count() == 1 and [r["doc_id"] for r in failures.collect()] == ["e.pdf"]
+    kept = []
+    recipes.transfer(nodes, lambda df: kept.append(df.count()), lambda df: df.limit(0))
+    assert kept == [0]
+
+
+def test_core(spark, monkeypatch):
+    from docgraph import core
+
+    c = core.Config({"a": {"b": 1}})
+    monkeypatch.setenv("X_Y", "env")
+    c.set("q.r", 2)
+    assert (c.get("a.b"), c.get("x.y"), c.get("n", 5), c.section("q"), c.merged({"a": 3}).get("a"), c.get("a.b")) == (1, "env", 5, {"r": 2}, 3, 1)
+    assert core.safe_run(lambda: 1 / 0, 7) == 7
+    heard = []
+
+    class Bad:
+        def on_start(self, name):
+            raise OSError
+
+        def on_finish(self, name, out):
+            heard.append((name, out))
+
+    assert core.Callbacks(Bad()).run("x", lambda: 3) == 3 and heard == [("x", 3)]
+    df, o = core.observed(spark.range(10), "o", n=F.count("*"))
+    df.collect()
+    assert o.get["n"] == 10
