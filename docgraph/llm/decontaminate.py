@@ -7,13 +7,15 @@ directions (a randomised range finder with one power step). Items and windows ar
 window, STEP words on from the last, of the width nearest to the item's is a candidate where the cosine reaches COSINE.
 Items over MAX_WIDTH words are searched by parts. Candidates are then checked by their words: the longest common
 subsequence of the item and the words around the window must hold SHARE of the item's words, or LOW_SHARE of them along
-with the item's answer, its last ANSWER words, in their order and without a gap.
+with the item's answer, its last ANSWER words, in their order and without a gap. Candidates that hold too few of the
+item's rarer words to pass are left out before, by a count that can't exceed what the comparison would find.
 
 Items travel in chunks of at most ITEMS, each by broadcast, so that a benchmark of any size can be searched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,9 +60,10 @@ def accepted(item: list[int], text: list[int], common: int) -> bool:
 
 @dataclass
 class Space:
-    """The latent space: a row of RANK numbers for each term, times its weight."""
+    """The latent space: a row of RANK numbers for each term, times its weight; and the weights."""
 
     basis: np.ndarray
+    idf: np.ndarray
 
 
 def _terms(w: tk.Words) -> np.ndarray:
@@ -124,7 +127,7 @@ def latent_space(texts: DataFrame, seed: int = 23) -> Space:
 
     z = _summed(texts.mapInArrow(sketch, "block long, data binary"), "<f4", RANK) * idf[:, None]
     directions = np.linalg.svd(z, full_matrices=False)[0] if z.any() else np.zeros((TERMS, RANK))
-    return Space((directions * idf[:, None]).astype(np.float32))
+    return Space((directions * idf[:, None]).astype(np.float32), idf.astype(np.float32))
 
 
 @dataclass
@@ -133,11 +136,15 @@ class Items:
     words: list[list[int]]
     #: By width in words: numbers of the items and their unit vectors, one a row.
     widths: dict[int, tuple[np.ndarray, np.ndarray]]
+    #: Of each item, sorted: its words but for the LOW_SHARE / 2 that are commonest in the corpus, and how many of the
+    #: passage's words must be among these if the passage is to be accepted.
+    rare: list[np.ndarray]
+    need: list[int]
 
 
 def prepare_items(rows: list[tuple[int, str]], space: Space) -> Items:
     """Items with fewer than ANSWER words are too short to be recognised and are left out."""
-    ids, texts, found = [], [], {}
+    ids, texts, found, rare, need = [], [], {}, [], []
     for item, text in rows:
         w = tk.words(pa.array([text]), folded=True)
         if len(w.hash) < ANSWER:
@@ -145,13 +152,19 @@ def prepare_items(rows: list[tuple[int, str]], space: Space) -> Items:
         ids.append(item)
         texts.append(w.hash.tolist())
         t = _terms(w)
+        # an accepted passage shares ``least`` of the item's words: leave out the commonest, and at least the rest are among the others
+        least = math.ceil(LOW_SHARE * len(t))
+        drop = np.argsort(space.idf[t], kind="stable")[: least // 2]
+        common = np.unique(w.hash[drop])
+        rare.append(np.setdiff1d(w.hash, common))
+        need.append(least - int(np.isin(w.hash, common).sum()))
         parts = max(1, -(-len(t) // MAX_WIDTH))
         for piece in np.array_split(t, parts):
             width = int(min(MAX_WIDTH, max(STEP, STEP * round(len(piece) / STEP))))
             v = space.basis[piece].sum(axis=0)
             if norm := float(np.linalg.norm(v)):
                 found.setdefault(width, []).append((len(ids) - 1, v / norm))
-    return Items(ids, texts, {k: (np.array([i for i, _ in v]), np.stack([x for _, x in v])) for k, v in found.items()})
+    return Items(ids, texts, {k: (np.array([i for i, _ in v]), np.stack([x for _, x in v])) for k, v in found.items()}, rare, need)
 
 
 def search(texts: pa.Array, space: Space, items: Items) -> list[tuple[int, int, int, int]]:
@@ -167,6 +180,11 @@ def search(texts: pa.Array, space: Space, items: Items) -> list[tuple[int, int,
     sums = np.add.reduceat(space.basis[t], begin, axis=0)
     doc = np.repeat(np.arange(len(n)), blocks)
     best: dict[tuple[int, int], tuple[int, int]] = {}
+    block_of = np.repeat(np.arange(len(doc)), np.diff(np.append(begin, len(t))))
+    order = np.argsort(w.hash, kind="stable")
+    ordered = w.hash[order]
+    here = np.arange(len(doc))
+    first, last = first_block[doc], (first_block + blocks)[doc]
     for width, (of, vectors) in items.widths.items():
         k = width // STEP
         window = sums.copy()
@@ -174,21 +192,35 @@ def search(texts: pa.Array, space: Space, items: Items) -> list[tuple[int, int,
             part = sums[j:] * (doc[j:] == doc[: len(doc) - j])[:, None]
             window[: len(part)] += part
         window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-        at, which = np.nonzero(window @ vectors.T >= COSINE)
-        for b, i in zip(at.tolist(), of[which].tolist(), strict=True):
-            d = int(doc[b])
+        near = window @ vectors.T >= COSINE
+        for column, i in enumerate(of.tolist()):
+            at = np.flatnonzero(near[:, column])
+            if not len(at):
+                continue
             item = items.words[i]
             reach = max(STEP, len(item) - width if len(item) > MAX_WIDTH else 0) + len(item) // 4
-            low, high = max(int(w.bounds[d]), int(begin[b]) - reach), min(int(w.bounds[d + 1]), int(begin[b]) + width + reach)
-            text = w.hash[low:high].tolist()
-            common = lcs(item, text)
-            if accepted(item, text, common):
-                now = best.get((d, i))
-                if now is None or (-common, low) < (-now[0], now[1]):
-                    best[d, i] = common, low
+            if items.need[i] > 0:  # candidates without enough of the item's rarer words can't be accepted
+                lo, hi = np.searchsorted(ordered, items.rare[i]), np.searchsorted(ordered, items.rare[i], "right")
+                hits = order[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(int((hi - lo).sum()))]
+                held = np.concatenate([[0], np.cumsum(np.bincount(block_of[hits], minlength=len(doc)))])
+                low, high = np.maximum(first[at], here[at] - -(-reach // STEP)), np.minimum(last[at], here[at] + -(-(width + reach) // STEP))
+                at = at[held[high] - held[low] >= items.need[i]]
+            for b in at.tolist():
+                _compare(w, item, i, int(doc[b]), int(begin[b]), width, reach, best)
     return [(d, items.ids[i], low - int(w.bounds[d]), common) for (d, i), (common, low) in sorted(best.items())]
 
 
+def _compare(w: tk.Words, item: list[int], i: int, d: int, begin: int, width: int, reach: int, best: dict[tuple[int, int], tuple[int, int]]) -> None:
+    """Keeps the passage of text d around a window in ``best`` if it is accepted and the best so far."""
+    low, high = max(int(w.bounds[d]), begin - reach), min(int(w.bounds[d + 1]), begin + width + reach)
+    text = w.hash[low:high].tolist()
+    common = lcs(item, text)
+    if accepted(item, text, common):
+        now = best.get((d, i))
+        if now is None or (-common, low) < (-now[0], now[1]):
+            best[d, i] = common, low
+
+
 def _chunks(docs: DataFrame, benchmark: DataFrame) -> Iterator[object]:
     """Broadcast (space, items), one for each chunk of the benchmark."""
     space = latent_space(docs.select("text").where("text IS NOT NULL"))

@@ -236,3 +236,24 @@ def test_pii_odd(spark, odd, none, monkeypatch):
     assert pii.find_pii(none).count() == 0
     assert pii.find_pii(odd).columns == ["doc_id", "start_char", "end_char", "kind"]
     pii.find_pii(odd).collect()
+
+
+def test_decontamination_filter_loses_nothing():
+    """The count of rarer words drops only what the comparison would reject."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(300)]
+    zipf = 1 / np.arange(1, 301)
+    draw = lambda n: " ".join(rng.choice(vocabulary, n, p=zipf / zipf.sum()))
+    items = [(k, draw(int(rng.integers(6, 60)))) for k in range(20)]
+    texts = []
+    for i in range(40):
+        words = items[i % 20][1].split()
+        words = [w if rng.random() > 0.1 * (i % 5) else "other" for w in words]
+        texts.append(f"{draw(50)} {' '.join(words)} {draw(30)}")
+    space = decontaminate.Space(rng.standard_normal((decontaminate.TERMS, decontaminate.RANK)).astype(np.float32) + 1, np.ones(decontaminate.TERMS, np.float32))
+    known = decontaminate.prepare_items(items, space)
+    got = decontaminate.search(pa.array(texts), space, known)
+    known.need = [0] * len(known.need)
+    assert got == decontaminate.search(pa.array(texts), space, known) and len(got) > 15
