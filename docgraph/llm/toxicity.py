@@ -390,7 +390,7 @@ def _score(docs: DataFrame, model: Model, columns: list[str], keep_toxic: bool,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            for part in tk.slices(batch, limit=8 * tk.SLICE_BYTES):
+            for part in tk.slices(batch, limit=2 * tk.SLICE_BYTES):
                 score, word = scorer(part.column("text"))
                 bad = score > sent.value.threshold
                 if keep_toxic:
