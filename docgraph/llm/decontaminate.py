@@ -4,11 +4,15 @@ Passages are windows of the documents' folded words, hashed to TERMS terms and w
 A randomised singular value decomposition of the matrix of all passages gives RANK latent directions: with a seeded
 random matrix R, one distributed pass forms A'(A R) from each task's passages, and its left singular vectors span the
 directions (a randomised range finder with one power step). Items and windows are compared there by cosine: every
-window, STEP words on from the last, of the width nearest to the item's is a candidate where the cosine reaches COSINE.
-Items over MAX_WIDTH words are searched by parts. Candidates are then checked by their words: the longest common
-subsequence of the item and the words around the window must hold SHARE of the item's words, or LOW_SHARE of them along
-with the item's answer, its last ANSWER words, in their order and without a gap. Candidates that hold too few of the
-item's rarer words to pass are left out before, by a count that can't exceed what the comparison would find.
+window, STEP words on from the last, of the width nearest to the item's is a candidate where the cosine reaches the
+item's own threshold. That is COSINE or less, the cosine which all but MISSED of the weakest passages that have to be accepted reach:
+copies in which only SHARE of the words are left, the rest replaced, dropped, or replaced with other words put in
+between, drawn for each item in the corpus' own words. Items over MAX_WIDTH words are searched by parts. Candidates are
+then checked by their words: the longest common subsequence of the item and the words around the window must hold SHARE
+of the item's words, or LOW_SHARE of them along with the item's answer, its last ANSWER words, in their order and
+without a gap. Where the answer stands is found by its words, without the latent space, and all windows around it are
+candidates. Candidates that hold too few of the item's rarer words to pass are left out before, by a count that can't
+be less than what the comparison would find.
 
 Items travel in chunks of at most ITEMS, each by broadcast, so that a benchmark of any size can be searched.
 """
@@ -27,8 +31,12 @@ from pyspark.sql import functions as F
 
 from docgraph.llm import tokens as tk
 
-TERMS, RANK, STEP, MAX_WIDTH = 1 << 15, 48, 8, 64
-COSINE, SHARE, LOW_SHARE, ANSWER = 0.72, 0.7, 0.5, 5
+TERMS, RANK, STEP, MAX_WIDTH = 1 << 15, 48, 4, 64
+COSINE, MISSED, SHARE, LOW_SHARE, ANSWER = 0.72, 0.01, 0.7, 0.5, 5
+#: Words around a window that are compared along with it, at least.
+AROUND = 8
+#: Passages drawn for an item's threshold, of each of the three ways; items that are multiplied with the windows at once.
+_DRAWN, _AT_ONCE = 48, 128
 ITEMS = 20_000
 _BLOCKS = 64
 _SLICE = tk.SLICE_BYTES // 4
@@ -60,10 +68,12 @@ def accepted(item: list[int], text: list[int], common: int) -> bool:
 
 @dataclass
 class Space:
-    """The latent space: a row of RANK numbers for each term, times its weight; and the weights."""
+    """The latent space: a row of RANK numbers for each term, times its weight; the weights; how often each term occurs,
+    None for equally often."""
 
     basis: np.ndarray
     idf: np.ndarray
+    occurs: np.ndarray | None = None
 
 
 def _terms(w: tk.Words) -> np.ndarray:
@@ -92,14 +102,15 @@ def latent_space(texts: DataFrame, seed: int = 23) -> Space:
     """Inverse document frequencies and latent directions from all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TERMS, np.float32)
+        total = np.zeros((TERMS, 2))
         for batch in batches:
             for part in tk.slices(batch):
                 w = tk.words(part.column("text"), folded=True)
-                total += np.bincount(np.unique(w.doc * TERMS + _terms(w)) % TERMS, minlength=TERMS)
+                total[:, 0] += np.bincount(np.unique(w.doc * TERMS + _terms(w)) % TERMS, minlength=TERMS)
+                total[:, 1] += np.bincount(_terms(w), minlength=TERMS)
         yield _blocks(total)
 
-    held = _summed(texts.mapInArrow(count, "block long, data binary"), "<f4", 1)
+    held, occurs = _summed(texts.mapInArrow(count, "block long, data binary"), "<f8", 2).T
     n = max(1.0, float(texts.count()))
     idf = np.log((n + 1) / (held + 1)) + 0.05
     random = np.random.default_rng(seed).standard_normal((TERMS, RANK)).astype(np.float32)
@@ -127,24 +138,73 @@ def latent_space(texts: DataFrame, seed: int = 23) -> Space:
 
     z = _summed(texts.mapInArrow(sketch, "block long, data binary"), "<f4", RANK) * idf[:, None]
     directions = np.linalg.svd(z, full_matrices=False)[0] if z.any() else np.zeros((TERMS, RANK))
-    return Space((directions * idf[:, None]).astype(np.float32), idf.astype(np.float32))
+    return Space((directions * idf[:, None]).astype(np.float32), idf.astype(np.float32), occurs)
 
 
 @dataclass
 class Items:
     ids: list[int]
     words: list[list[int]]
-    #: By width in words: numbers of the items and their unit vectors, one a row.
-    widths: dict[int, tuple[np.ndarray, np.ndarray]]
-    #: Of each item, sorted: its words but for the LOW_SHARE / 2 that are commonest in the corpus, and how many of the
-    #: passage's words must be among these if the passage is to be accepted.
+    #: By width in words: numbers of the items, their unit vectors, one a row, and their thresholds.
+    widths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: Of each item the width of its windows, and how far around a window the words are compared.
+    width: list[int]
+    #: Of each item, sorted: its words but for the SHARE / 2 that are commonest in the corpus, and how many of the
+    #: passage's words must be among these if it is to be accepted by SHARE.
     rare: list[np.ndarray]
     need: list[int]
+    #: Sorted: the keys of the items' answers, and the items' numbers in that order.
+    answers: tuple[np.ndarray, np.ndarray]
+
+    def reach(self, i: int, width: int) -> int:
+        n = len(self.words[i])
+        return max(AROUND, n - width if n > MAX_WIDTH else 0) + n // 4
+
+
+def _width(n: int) -> int:
+    return min(MAX_WIDTH, max(STEP, STEP * round(n / STEP)))
+
+
+def _run_keys(words: np.ndarray) -> np.ndarray:
+    """A key of every ANSWER words in a row."""
+    n = max(0, len(words) - ANSWER + 1)
+    key = np.zeros(n, np.uint64)
+    for j in range(ANSWER):
+        key = tk.mix(key ^ words[j : j + n], 50 + j)
+    return key
+
+
+def least_cosine(piece: np.ndarray, vector: np.ndarray, space: Space, chances: np.ndarray, rng: np.random.Generator) -> float:
+    """The cosine that all but MISSED of the weakest passages to be accepted reach, in the way that is hardest to find.
+
+    ``piece`` has the terms of an item, ``vector`` its unit vector, ``chances`` the summed chances of the corpus' terms.
+    """
+    n, width = len(piece), _width(len(piece))
+    kept = math.ceil(SHARE * n)
+    reached = []
+    for way in ("replaced", "dropped", "spread"):
+        middle = n if way == "replaced" else kept if way == "dropped" else n + n // 4
+        edge = width // 2
+        long = 2 * edge + max(middle, width) + 2 * STEP
+        text = np.minimum(np.searchsorted(chances, rng.random((_DRAWN, long))), TERMS - 1)
+        # which of the item's words are left, and where: in their order
+        left = np.sort(np.argsort(rng.random((_DRAWN, n)), axis=1)[:, :kept], axis=1)
+        place = left if way == "replaced" else np.sort(np.argsort(rng.random((_DRAWN, middle)), axis=1)[:, :kept], axis=1)
+        np.put_along_axis(text, edge + rng.integers(0, STEP, (_DRAWN, 1)) + place, piece[left], axis=1)
+        sums = np.zeros((_DRAWN, long + 1, RANK), np.float32)
+        np.cumsum(space.basis[text], axis=1, out=sums[:, 1:])
+        begin = np.arange(0, long - width + 1, STEP)
+        window = sums[:, begin + width] - sums[:, begin]
+        cosine = window @ vector / np.maximum(np.linalg.norm(window, axis=2), 1e-9)
+        reached.append(np.quantile(cosine.max(axis=1), MISSED))
+    return min(COSINE, *map(float, reached))
 
 
 def prepare_items(rows: list[tuple[int, str]], space: Space) -> Items:
     """Items with fewer than ANSWER words are too short to be recognised and are left out."""
-    ids, texts, found, rare, need = [], [], {}, [], []
+    ids, texts, found, rare, need, widths, answers = [], [], {}, [], [], [], []
+    chances = np.cumsum((np.ones(TERMS) if space.occurs is None else space.occurs) + 1e-9)
+    chances /= chances[-1]
     for item, text in rows:
         w = tk.words(pa.array([text]), folded=True)
         if len(w.hash) < ANSWER:
@@ -152,19 +212,23 @@ def prepare_items(rows: list[tuple[int, str]], space: Space) -> Items:
         ids.append(item)
         texts.append(w.hash.tolist())
         t = _terms(w)
-        # an accepted passage shares ``least`` of the item's words: leave out the commonest, and at least the rest are among the others
-        least = math.ceil(LOW_SHARE * len(t))
+        # a passage accepted by SHARE has ``least`` of the item's words: leave out the commonest, and at least the rest are among the others
+        least = math.ceil(SHARE * len(t))
         drop = np.argsort(space.idf[t], kind="stable")[: least // 2]
         common = np.unique(w.hash[drop])
         rare.append(np.setdiff1d(w.hash, common))
         need.append(least - int(np.isin(w.hash, common).sum()))
-        parts = max(1, -(-len(t) // MAX_WIDTH))
-        for piece in np.array_split(t, parts):
-            width = int(min(MAX_WIDTH, max(STEP, STEP * round(len(piece) / STEP))))
+        answers.append(_run_keys(w.hash[-ANSWER:])[0])
+        pieces = np.array_split(t, max(1, -(-len(t) // MAX_WIDTH)))
+        widths.append(_width(len(pieces[0])))
+        rng = np.random.default_rng(len(ids))
+        for piece in pieces:
             v = space.basis[piece].sum(axis=0)
             if norm := float(np.linalg.norm(v)):
-                found.setdefault(width, []).append((len(ids) - 1, v / norm))
-    return Items(ids, texts, {k: (np.array([i for i, _ in v]), np.stack([x for _, x in v])) for k, v in found.items()}, rare, need)
+                found.setdefault(_width(len(piece)), []).append((len(ids) - 1, v / norm, least_cosine(piece, v / norm, space, chances, rng)))
+    order = np.argsort(np.array(answers, np.uint64), kind="stable")
+    by_width = {k: (np.array([i for i, *_ in found[k]]), np.stack([x for _, x, _ in found[k]]), np.array([c for *_, c in found[k]], np.float32)) for k in sorted(found)}
+    return Items(ids, texts, by_width, widths, rare, need, (np.array(answers, np.uint64)[order], order))
 
 
 def search(texts: pa.Array, space: Space, items: Items) -> list[tuple[int, int, int, int]]:
@@ -185,28 +249,47 @@ def search(texts: pa.Array, space: Space, items: Items) -> list[tuple[int, int,
     ordered = w.hash[order]
     here = np.arange(len(doc))
     first, last = first_block[doc], (first_block + blocks)[doc]
-    for width, (of, vectors) in items.widths.items():
-        k = width // STEP
-        window = sums.copy()
-        for j in range(1, k):
+
+    def compare(i: int, at: np.ndarray, width: int, need: int) -> None:
+        reach = items.reach(i, width)
+        if need > 0:  # candidates without enough of the item's rarer words can't be accepted
+            lo, hi = np.searchsorted(ordered, items.rare[i]), np.searchsorted(ordered, items.rare[i], "right")
+            hits = order[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(int((hi - lo).sum()))]
+            held = np.concatenate([[0], np.cumsum(np.bincount(block_of[hits], minlength=len(doc)))])
+            low, high = np.maximum(first[at], here[at] - -(-reach // STEP)), np.minimum(last[at], here[at] + -(-(width + reach) // STEP))
+            at = at[held[high] - held[low] >= need]
+        for b in at.tolist():
+            _compare(w, items.words[i], i, int(doc[b]), int(begin[b]), width, reach, best)
+
+    window, k = sums.copy(), 1
+    for width, (of, vectors, least) in items.widths.items():  # from narrow to wide
+        for j in range(k, width // STEP):
             part = sums[j:] * (doc[j:] == doc[: len(doc) - j])[:, None]
             window[: len(part)] += part
-        window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-        near = window @ vectors.T >= COSINE
-        for column, i in enumerate(of.tolist()):
-            at = np.flatnonzero(near[:, column])
-            if not len(at):
-                continue
-            item = items.words[i]
-            reach = max(STEP, len(item) - width if len(item) > MAX_WIDTH else 0) + len(item) // 4
-            if items.need[i] > 0:  # candidates without enough of the item's rarer words can't be accepted
-                lo, hi = np.searchsorted(ordered, items.rare[i]), np.searchsorted(ordered, items.rare[i], "right")
-                hits = order[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(int((hi - lo).sum()))]
-                held = np.concatenate([[0], np.cumsum(np.bincount(block_of[hits], minlength=len(doc)))])
-                low, high = np.maximum(first[at], here[at] - -(-reach // STEP)), np.minimum(last[at], here[at] + -(-(width + reach) // STEP))
-                at = at[held[high] - held[low] >= items.need[i]]
-            for b in at.tolist():
-                _compare(w, item, i, int(doc[b]), int(begin[b]), width, reach, best)
+        k = max(k, width // STEP)
+        norm = np.maximum(np.linalg.norm(window, axis=1), 1e-9)
+        for low in range(0, len(of), _AT_ONCE):
+            near = vectors[low : low + _AT_ONCE] @ window.T >= least[low : low + _AT_ONCE, None] * norm
+            for row, i in enumerate(of[low : low + _AT_ONCE].tolist()):
+                at = np.flatnonzero(near[row])
+                if len(at):
+                    compare(i, at, width, items.need[i])
+    keys, numbers = items.answers
+    run = _run_keys(w.hash)
+    lo, hi = np.searchsorted(keys, run), np.searchsorted(keys, run, "right")
+    around: dict[int, list[np.ndarray]] = {}
+    for p in np.flatnonzero(hi > lo).tolist():
+        b = int(block_of[p])
+        if p + ANSWER > w.bounds[doc[b] + 1]:
+            continue
+        for i in numbers[lo[p] : hi[p]].tolist():  # all windows whose compared words hold the answer
+            width, reach = items.width[i], items.reach(i, items.width[i])
+            at = np.arange(max(first[b], b - (width + reach) // STEP), min(last[b], b + reach // STEP + 1))
+            around.setdefault(i, []).append(at[(begin[at] - reach <= p) & (begin[at] + width + reach >= p + ANSWER)])
+    for i, at in around.items():
+        size = len(items.words[i])
+        fewer = math.ceil(SHARE * size) - math.ceil(LOW_SHARE * size)  # words that LOW_SHARE asks less than SHARE
+        compare(i, np.unique(np.concatenate(at)), items.width[i], items.need[i] - fewer)
     return [(d, items.ids[i], low - int(w.bounds[d]), common) for (d, i), (common, low) in sorted(best.items())]
 
 

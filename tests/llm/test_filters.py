@@ -257,3 +257,44 @@ def test_decontamination_filter_loses_nothing():
     got = decontaminate.search(pa.array(texts), space, known)
     known.need = [0] * len(known.need)
     assert got == decontaminate.search(pa.array(texts), space, known) and len(got) > 15
+
+
+def test_decontamination_recall_brute(spark):
+    """Of all that the words around any window accept, at least nine tenths are found, in each way and length."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("text").where("text IS NOT NULL")
+    texts = [r["text"] for r in docs.collect()]
+    space = decontaminate.latent_space(docs)
+    rng = np.random.default_rng(12)
+    pool = [t.split() for t in texts if 100 < len(t.split()) < 300]
+    words = np.concatenate(pool)
+    cut = lambda n: (lambda d, a: d[a : a + n])(pool[int(rng.integers(len(pool)))], int(rng.integers(0, 30)))
+    for low, high in ((15, 20), (21, 40), (41, 60)):
+        items = [(k, " ".join(cut(int(rng.integers(low, high + 1))))) for k in range(60)]
+        known = decontaminate.prepare_items(items, space)
+        for way in ("replaced", "dropped", "spread", "answer"):
+            planted = []
+            for _, text in items:
+                item = text.split()
+                n = len(item)
+                left = np.sort(rng.permutation(n)[: int(np.ceil(0.7 * n))])
+                if way == "answer":
+                    left = np.concatenate([np.sort(rng.permutation(n - 5)[: int(np.ceil(0.5 * n)) - 5]), np.arange(n - 5, n)])
+                size = len(left) if way == "dropped" else n + n // 4 if way == "spread" else n
+                passage = rng.choice(words, size).tolist()
+                for a, b in zip(left if way in ("replaced", "answer") else np.sort(rng.permutation(size)[: len(left)]), left, strict=True):
+                    passage[a] = item[b]
+                around = pool[int(rng.integers(len(pool)))]
+                at = int(rng.integers(0, len(around)))
+                planted.append(" ".join([*around[:at], *passage, *around[at:]]))
+            w = decontaminate.tk.words(pa.array(planted), folded=True)
+            want = set()
+            for k, item in enumerate(known.words):
+                width, (first, last) = known.width[k], w.bounds[k : k + 2].tolist()
+                reach = known.reach(k, width)
+                near = (w.hash[max(first, b - reach) : min(last, b + width + reach)].tolist() for b in range(first, last))
+                if any(decontaminate.accepted(item, x, decontaminate.lcs(item, x)) for x in near):
+                    want.add((k, known.ids[k]))
+            got = {(d, i) for d, i, *_ in decontaminate.search(pa.array(planted), space, known)}
+            assert len(want) >= 30 and len(want & got) >= 0.9 * len(want), (low, way, len(want), len(want & got))
