@@ -52,6 +52,24 @@ def test_simhash_brute(spark, broadcast):
     assert got[300] == 0 and got[301] == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 1 << 30])
+def test_simhash_recall_near_radius(spark, broadcast):
+    """Isolated pairs at 22 bits and more, up to the radius itself: at least nine tenths of each distance are linked."""
+    rng = np.random.default_rng(21)
+    n, steps = 2000, (22, 26, simhash.RADIUS)
+    base = rng.integers(0, 2, (n, simhash.BITS)).astype(np.uint8)
+    other = base.copy()
+    for i in range(n):
+        other[i, rng.choice(simhash.BITS, steps[i % 3], replace=False)] ^= 1
+    marks = np.packbits(np.concatenate([base, other]), axis=1).view(np.int64)
+    heads = spark.createDataFrame([(i, *m) for i, m in enumerate(marks.tolist())], "id long, h1 long, h2 long")
+    found = {tuple(sorted(r)) for r in simhash.near_pairs(heads, broadcast_bytes=broadcast).collect()}
+    assert all(b == a + n for a, b in found)
+    for k in range(3):
+        pairs = {(i, i + n) for i in range(k, n, 3)}
+        assert len(found & pairs) >= 0.9 * len(pairs), steps[k]
+
+
 def test_bk_tree_finds_all_within_radius():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, (30, 2)).astype(np.uint64)
