@@ -1,8 +1,9 @@
 """Secret scans by a battery of randomness tests with false-discovery control.
 
 A candidate is a run of at least MIN_LENGTH characters of [A-Za-z0-9+/_-], without '-' and '_' at its ends ('=' parts a
-name from its value, and pads). Its
-encoding is the smallest alphabet that holds it: decimal, hexadecimal, base32 or base64; hyphens between hexadecimal or
+name from its value, and pads), and also each part of a run between '_' and '/', and between '-', '_' and '/', which
+may join a name or a path to a key. Of findings that overlap the one that begins first stays, the longest of these. The
+encoding of a candidate is the smallest alphabet that holds it: decimal, hexadecimal, base32 or base64; hyphens between hexadecimal or
 decimal digits are passed over, as in UUIDs. A candidate has room for at least MIN_BITS bits in its encoding: shorter
 numbers, such as those of cards and orders, may be as random as they like without being keys.
 
@@ -38,6 +39,10 @@ ALPHABETS = {"decimal": b"0123456789", "hex": b"0123456789abcdef", "base32": b"A
 NAMES = tuple(ALPHABETS)
 _CHARS = np.zeros(256, bool)
 _CHARS[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
+#: What runs are made of: whole ones, parts that '_' and '/' part, parts that '-' parts too.
+_RUNS = [_CHARS.copy() for _ in range(3)]
+_RUNS[1][[*b"_/"]] = False
+_RUNS[2][[*b"_/-"]] = False
 _TRIM = np.zeros(256, bool)
 _TRIM[[*b"-_"]] = True
 
@@ -56,10 +61,10 @@ _INDEX[1, [*b"ABCDEF"]] = np.arange(10, 16)
 _INDEX[3, [*b"-_"]] = 62, 63
 
 
-def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, encoding) of all candidates; none crosses from one text into the next."""
+def _runs(data: np.ndarray, offsets: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of ``chars`` of at least MIN_LENGTH, trimmed."""
     n = len(data)
-    inside = _CHARS[data]
+    inside = chars[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) if n else inside
@@ -75,6 +80,13 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         start, end = start + head, end - tail
         long = end - start >= MIN_LENGTH
         start, end = start[long], end[long]
+    return start, end
+
+
+def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, encoding) of all candidates, by start; none crosses from one text into the next."""
+    found = [np.stack(_runs(data, offsets, chars), axis=1) for chars in _RUNS]
+    start, end = np.unique(np.concatenate(found), axis=0).T
     kind = np.full(len(start), 3)
     for code, chars in ((2, _B32), (1, _HEX_LOW), (1, _HEX_UP), (0, _DIGIT)):
         other = ~chars[data]
@@ -181,6 +193,13 @@ class Scan:
             seq = _INDEX[k, data[s:t]]
             p[i] = battery(seq[seq >= 0], len(ALPHABETS[NAMES[k]]))
         ok = p >= BATTERY
+        order = np.lexsort((-end, start))
+        order = order[ok[order]]
+        if len(order):  # of findings that overlap the first stays
+            stop = 0
+            for i in order.tolist():
+                ok[i] = start[i] >= stop
+                stop = max(stop, int(end[i])) if ok[i] else stop
         return data, offsets, start[ok], end[ok], kind[ok], e[ok], p[ok]
 
 

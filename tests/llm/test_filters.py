@@ -146,6 +146,26 @@ def test_secrets_planted(spark):
         assert len(whole) == 40 and whole not in out[r["doc_id"]]
 
 
+def test_secrets_prefixed(spark):
+    """Hex keys that '_', '-' or '/' joins to a name or path are found and redacted."""
+    rng = np.random.default_rng(18)
+    prefixes = ["sk_live_", "key-", "services/hooks/", "aws_secret_key_"]
+    rows, keys = [], {}
+    for i in range(240):
+        text = f"{prose(i, 80)} {' '.join(map(str, rng.integers(0, 10**6, 20)))}"
+        if i % 5 == 0:
+            keys[i] = key(rng, "0123456789abcdef", [32, 40, 64][i // 5 % 3])
+            text += f" {prefixes[i // 15 % 4]}{keys[i]} ok"
+        elif i % 5 == 1:
+            text += " internationalisation_of_the_whole_thing some/long/path/of-many-parts/and_names"
+        rows.append((i, text, "s"))
+    docs = frame(spark, rows)
+    found = {r["doc_id"] for r in secrets.find_secrets(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert len(found & set(keys)) >= 0.95 * len(keys) and not found - set(keys)
+    assert sum(k not in out[i] for i, k in keys.items()) >= 0.95 * len(keys)
+
+
 def test_battery():
     rng = np.random.default_rng(1)
     p = [secrets.battery(rng.integers(0, 16, 40), 16) for _ in range(400)]
