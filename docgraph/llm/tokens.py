@@ -1,7 +1,7 @@
 """Vectorised tokenising and hashing of whole Arrow batches.
 
-All texts of a slice are handled as one byte array: words are found by a byte mask, hashed with a polynomial prefix
-sum modulo 2**64, and windows of words are hashed with a second prefix sum. No per-word Python code runs.
+All texts of a slice are handled as one byte array: words are found by a byte mask and hashed eight bytes at a time,
+and windows of words are hashed with a polynomial prefix sum modulo 2**64. No per-word Python code runs.
 
 Null texts count as empty. Words never cross from one document into the next.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 U = np.uint64
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 #: Bytes of text handled at once; a longer single text is one slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -67,6 +67,44 @@ def window_hash(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndar
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+#: The lowest i bytes of a word of eight.
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
+#: Longer spans are hashed by the polynomial.
+_LONG = 64
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes data[s:e] of each pair: equal spans have equal hashes, in whatever array they stand."""
+    size = end - start
+    padded = np.zeros((len(data) + 23) // 8 * 8, np.uint8)
+    padded[: len(data)] = data
+    eights = padded.view(U)
+
+    def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        q, shift = at >> 3, ((at & 7) << 3).astype(U)
+        return (eights[q] >> shift | (eights[q + 1] << U(1)) << (U(63) - shift)) & _LOW[np.minimum(left, 8)]
+
+    out = mix(load(start, size) ^ size.astype(U) * U(0x9E3779B97F4A7C15), 1)
+    todo, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(todo):
+        out[todo] = mix(out[todo] ^ load(start[todo] + done, size[todo] - done), 2)
+        done += 8
+        todo = todo[size[todo] > done]
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        n = size[long]
+        ends = np.cumsum(n)
+        at = np.repeat(start[long] - (ends - n), n) + np.arange(int(ends[-1]))
+        out[long] = window_hash(_VALUES[data[at]], BYTE_BASE, ends - n, ends)
+    return out
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 @dataclass
 class Words:
     """Words of several texts. ``bounds[d]:bounds[d + 1]`` are the words of text d; start and end are byte places."""
@@ -113,17 +151,17 @@ def words(column: pa.Array, folded: bool) -> Words:
     data = fold(data) if folded else data
     inside = WORD[data] if folded else ~SPACE[data]
     n = len(data)
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    before = np.zeros(n, bool)
-    before[1:] = inside[:-1]
-    before &= ~edge[:n]
-    after = np.zeros(n, bool)
-    after[:-1] = inside[1:]
-    after &= ~edge[1:]
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    hashes = window_hash(_VALUES[data], BYTE_BASE, start, end)
-    return Words(data, offsets, start, end, hashes, np.searchsorted(start, offsets))
+    change = np.zeros(n + 1, bool)
+    if n:
+        change[1:n] = inside[1:] != inside[:-1]
+        change[0], change[n] = inside[0], inside[-1]
+    at = np.flatnonzero(change)
+    edge = distinct(offsets[(offsets > 0) & (offsets < n)])
+    cut = edge[inside[edge] & inside[edge - 1]]  # a text's end inside a run: one word ends, another begins
+    if len(cut):
+        at = np.sort(np.concatenate([at, cut, cut]))
+    start, end = at[::2], at[1::2]
+    return Words(data, offsets, start, end, span_hash(data, start, end), np.searchsorted(start, offsets))
 
 
 def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -210,7 +210,7 @@ def units(texts: pa.Array) -> Units:
             sizes = np.array([len(p) for p in pieces])
             joined = np.concatenate(pieces)
             ends = np.cumsum(sizes)
-            h = tk.window_hash(tk._VALUES[joined], tk.BYTE_BASE, ends - sizes, ends)
+            h = tk.span_hash(joined, ends - sizes, ends)
             found.append((ends - sizes + len(data), ends + len(data), h, doc[first], first))
             data = np.concatenate([data, joined])
     start, end, h, doc, word = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -258,25 +258,63 @@ def test_pii_odd(spark, odd, none, monkeypatch):
     pii.find_pii(odd).collect()
 
 
-def test_decontamination_filter_loses_nothing():
-    """The count of rarer words drops only what the comparison would reject."""
+def every_window(texts, space, items):
+    """The same as search() by comparing every window of every text with every item."""
+    w = decontaminate.tk.words(texts, folded=True)
+    out = []
+    for d in range(len(texts)):
+        low, high = w.bounds[d : d + 2].tolist()
+        terms = (w.hash[low:high] % np.uint64(decontaminate.TERMS)).astype(int)
+        for x in items.items:
+            words, answer, best = x.words.tolist(), x.words[-decontaminate.ANSWER :].tolist(), None
+            for b in range(low, high, decontaminate.STEP):
+                close = False
+                for width, vector, least in x.pieces:
+                    v = space.basis[terms[b - low : b - low + width]].sum(axis=0)
+                    close |= bool(v @ vector >= least * max(np.linalg.norm(v), 1e-9))
+                text = w.hash[max(low, b - x.reach) : min(high, b + x.width + x.reach)].tolist()
+                if close or decontaminate.has_run(answer, text):
+                    common = decontaminate.lcs(words, text)
+                    if decontaminate.accepted(words, text, common):
+                        best = min(best or (0, 0), (-common, max(low, b - x.reach)))
+            if best:
+                out.append((d, x.id, best[1] - low, -best[0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("level", [0.0, 1.0])
+def test_decontamination_lists_lose_nothing(level):
+    """Neither the lists of words nor the count of rarer words drops what the comparison of all windows accepts."""
     import pyarrow as pa
 
     rng = np.random.default_rng(6)
     vocabulary = [f"w{k}" for k in range(300)]
     zipf = 1 / np.arange(1, 301)
     draw = lambda n: " ".join(rng.choice(vocabulary, n, p=zipf / zipf.sum()))
-    items = [(k, draw(int(rng.integers(6, 60)))) for k in range(20)]
+    items = [(k, draw(int(rng.integers(5, 60)))) for k in range(19)] + [(19, "w0 w0 w1 w0 w0"), (20, draw(150))]
     texts = []
-    for i in range(40):
-        words = items[i % 20][1].split()
+    for i in range(42):
+        words = items[i % 21][1].split()
         words = [w if rng.random() > 0.1 * (i % 5) else "other" for w in words]
         texts.append(f"{draw(50)} {' '.join(words)} {draw(30)}")
-    space = decontaminate.Space(rng.standard_normal((decontaminate.TERMS, decontaminate.RANK)).astype(np.float32) + 1, np.ones(decontaminate.TERMS, np.float32))
+    basis = rng.standard_normal((decontaminate.TERMS, decontaminate.RANK)).astype(np.float32) + np.float32(level)
+    space = decontaminate.Space(basis, rng.random(decontaminate.TERMS).astype(np.float32))
     known = decontaminate.prepare_items(items, space)
-    got = decontaminate.search(pa.array(texts), space, known)
-    known.need = [0] * len(known.need)
-    assert got == decontaminate.search(pa.array(texts), space, known) and len(got) > 15
+    column = pa.array([*texts, None, "", "w0", texts[0]])
+    got = decontaminate.search(column, space, known)
+    assert got == every_window(column, space, known) and len(got) > 15
+
+
+def test_decontamination_all_windows_of_a_table(spark):
+    """search() against every window of every text of the smallest table, with its own benchmark and latent space."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("text IS NOT NULL")
+    space = decontaminate.latent_space(docs)
+    rows = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()
+    known = decontaminate.prepare_items([(r["item_id"], r["text"]) for r in rows][:25], space)
+    texts = pa.array([t for (t,) in docs.collect() if len(t) < 3000][:80])
+    assert decontaminate.search(texts, space, known) == every_window(texts, space, known)
 
 
 def test_decontamination_recall_brute(spark):
@@ -310,11 +348,11 @@ def test_decontamination_recall_brute(spark):
                 planted.append(" ".join([*around[:at], *passage, *around[at:]]))
             w = decontaminate.tk.words(pa.array(planted), folded=True)
             want = set()
-            for k, item in enumerate(known.words):
-                width, (first, last) = known.width[k], w.bounds[k : k + 2].tolist()
-                reach = known.reach(k, width)
-                near = (w.hash[max(first, b - reach) : min(last, b + width + reach)].tolist() for b in range(first, last))
-                if any(decontaminate.accepted(item, x, decontaminate.lcs(item, x)) for x in near):
-                    want.add((k, known.ids[k]))
+            for k, item in enumerate(known.items):
+                first, last = w.bounds[k : k + 2].tolist()
+                own = item.words.tolist()
+                near = (w.hash[max(first, b - item.reach) : min(last, b + item.width + item.reach)].tolist() for b in range(first, last))
+                if any(decontaminate.accepted(own, x, decontaminate.lcs(own, x)) for x in near):
+                    want.add((k, item.id))
             got = {(d, i) for d, i, *_ in decontaminate.search(pa.array(planted), space, known)}
             assert len(want) >= 30 and len(want & got) >= 0.9 * len(want), (low, way, len(want), len(want & got))
