@@ -13,29 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder; where none is set a temporary one in local mode, as in tests, else an error."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = sc.getCheckpointDir()
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="docgraph-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder, so that a lost executor costs nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def partitions(df: DataFrame) -> int:
-    """Shuffle partitions in proportion to the input: at least the session's."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-
-
 def groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components: (node, root), root the least node of each component that has an edge.
 

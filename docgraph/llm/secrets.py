@@ -261,10 +261,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every finding in ``text`` replaced by ``mark``, and n_chars, if there, counted anew."""
+    """The documents with every finding in ``text`` replaced by ``mark``, and n_chars, if there, counted anew.
+
+    All rows and columns stay, whatever their names. Null and empty texts stay null and empty; a null id is as good as
+    any other; rows that repeat an id or a text are redacted each; very long texts are read whole; of findings that
+    overlap the one that begins first, and of these the longest, is replaced. An empty table stays empty.
+    """
     scan = docs.sparkSession.sparkContext.broadcast(prepare(docs))
     place = docs.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,5 +289,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 cols[place] = pa.array(texts, cols[place].type)
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -164,6 +164,17 @@ def words(column: pa.Array, folded: bool) -> Words:
     return Words(data, offsets, start, end, span_hash(data, start, end), np.searchsorted(start, offsets))
 
 
+def count_words(column: pa.Array) -> np.ndarray:
+    """The number of words of each text, unfolded: as words() has them, without their hashes."""
+    data, offsets = text_bytes(column)
+    inside = np.zeros(len(data) + 1, bool)
+    np.logical_not(SPACE[data], out=inside[:-1])
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[offsets] = inside[offsets]
+    return np.diff(np.concatenate([[0], np.cumsum(begins[:-1])])[offsets])
+
+
 def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of k words that lie within one text, and the word at which each starts."""
     if len(w.hash) < k:

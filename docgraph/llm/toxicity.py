@@ -4,17 +4,23 @@ The kernel of two words is the sum, over all subsequences of three characters, g
 weights DECAY ** (stretch of the subsequence) in either word, normalised (Lodhi et al. 2002). A word is taken with a
 mark at both ends. A missing or an inserted character so only costs the subsequences that it cuts or stretches.
 
-Units of a text are its words; its space-free runs with inner punctuation taken out ("id-iot"); and three or more
-single characters in a row, joined ("i d i o t"). A sentence is as toxic as its worst unit and a text as its worst
-sentence, as in multiple-instance learning.
-
-``fit`` learns from at most ``per_class`` labelled documents of either class. Witness words are those that are in toxic
-sentences, in many different contexts, and hardly ever in clean ones; copies of one document share their contexts and so
-don't make witnesses. A linear machine is then trained on Nyström features: kernels with landmark words (the witnesses
-and the clean words nearest to them), whitened by the landmarks' own kernel matrix. Witnesses with characters inserted
-are further positives and clean words that score high join the negatives, round by round. The decision is linear in the
-kernel's feature space, so that all landmarks collapse into one weight for each three characters, and a unit is scored
-by the sum over its own subsequences.
+Units of a text are its words; its space-free runs with inner punctuation taken out ("id-iot"); three or more single
+characters in a row, joined ("i d i o t"); and its pairs of neighbouring words, for insults that only a phrase makes.
+The kernel of two pairs is the mean of the kernels of their first and of their second words. A sentence is as toxic as
+its worst unit and a text as its worst sentence, as in multiple-instance learning.
+
+``fit`` learns from at most ``per_class`` labelled documents of either class. Which unit makes a labelled text toxic
+isn't given. First guesses, the witnesses, are units of toxic texts in many different contexts and hardly ever in clean
+ones; copies of one document share their contexts and so don't make witnesses. Linear machines, one for single units and
+one for pairs, are then trained on Nyström features: kernels with landmarks (witnesses and the clean units nearest to
+them), whitened by the landmarks' own kernel matrix. Every labelled text takes part as it is labelled: round by round a
+toxic text that a machine can explain adds its worst unit to the positives, with the text's weight, and the worst units
+of clean texts join the negatives. Witnesses with characters inserted are further positives. Pairs are learned from the
+toxic texts that no single unit explains; where these have no witness, the likeliest pair of each is the first guess.
+The threshold rejects at most WRONG of the clean labelled texts.
+
+The decision is linear in the kernel's feature space, so that all landmarks collapse into one weight for each three
+characters, and a unit is scored by the sum over its own subsequences.
 """
 
 from __future__ import annotations
@@ -28,14 +34,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docgraph.llm import tokens as tk
 
 DECAY = 0.6
-#: Longer units are scored in overlapping windows of so many characters.
+#: Longer units are scored in overlapping windows of so many characters, of which two are the marks at its ends.
 WIDTH = 24
+ROOM = WIDTH - 2
 PER_CLASS = 1500
+#: Landmarks of either machine. Witnesses are taken first, evenly where there are more.
 LANDMARKS = 160
+#: Clean units that a machine trains on at first: those nearest to the witnesses, and others by chance; those that are
+#: added in a round; and the rounds.
+NEAR, DRAWN, HARD, ROUNDS = 800, 1200, 400, 3
+#: Cost of an error with a witness, with a varied witness and with a clean unit; copies of a witness with a character inserted.
+COSTS, VARIED = (200.0, 20.0, 20.0), 4
+#: Share of the clean labelled texts that the threshold may reject.
+WRONG = 0.02
 A = 64
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = np.arange(1, 27)
@@ -54,9 +70,9 @@ def _triples(n: int) -> Iterator[tuple[int, int, int]]:
 
 
 def linear(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Sum over the subsequences of each row of ``codes`` of their weight in it times their entry of ``weights``."""
+    """Sum over the subsequences of each row of ``codes`` of their weight in it times their row of ``weights``."""
     cols = codes.T.astype(np.int64)
-    out = np.zeros(codes.shape[0])
+    out = np.zeros((codes.shape[0], *weights.shape[1:]))
     n = len(cols)
     for i in range(n - 2):
         for j in range(i + 1, n - 1):
@@ -86,22 +102,22 @@ def self_kernel(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The machine's decision value of each span of folded bytes; a span under two characters gets the least value.
+def score_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, weights: np.ndarray, floor: float = 0.0) -> np.ndarray:
+    """The product of the weights with the normalised features of each span of folded bytes, ``floor`` at least.
 
-    Spans over WIDTH characters count by the best of their overlapping windows.
+    Spans over WIDTH characters count by the best of their overlapping windows; spans under two characters have the
+    floor. ``weights`` may have several columns, and so has the result then.
     """
-    out = np.full(len(start), -9.0)
+    out = np.full((len(start), *weights.shape[1:]), floor)
     codes = _CODE[data]
     kept = np.concatenate([[0], np.cumsum(codes > 0)])
     codes, first, size = codes[codes > 0], kept[start], kept[end] - kept[start]
-    room = WIDTH - 2
     of, at, n = [], [], []
-    short = np.flatnonzero((size >= 2) & (size <= room))
+    short = np.flatnonzero((size >= 2) & (size <= ROOM))
     of.append(short), at.append(first[short]), n.append(size[short])
-    for i in np.flatnonzero(size > room).tolist():
-        places = np.unique(np.append(np.arange(0, size[i] - room, WIDTH // 2), size[i] - room))
-        of.append(np.full(len(places), i)), at.append(first[i] + places), n.append(np.full(len(places), room))
+    for i in np.flatnonzero(size > ROOM).tolist():
+        places = _windows(int(size[i]))
+        of.append(np.full(len(places), i)), at.append(first[i] + places), n.append(np.full(len(places), ROOM))
     of, at, n = np.concatenate(of), np.concatenate(at), np.concatenate(n)
     for size_ in np.unique(n).tolist():
         group = np.flatnonzero(n == size_)
@@ -111,19 +127,31 @@ def score_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, weights: n
             c = np.empty((len(g), size_ + 2), np.uint8)
             c[:, 0], c[:, -1] = BEGIN, END
             c[:, 1:-1] = codes[at[g][:, None] + np.arange(size_)]
-            raw = linear(c, weights)
-            value = np.full(len(c), bias)
-            some = np.flatnonzero(raw > 0)  # at the others the value is bias or below, whatever the norm
+            value = linear(c, weights)
+            some = np.flatnonzero((value > floor) if value.ndim == 1 else (value != 0).any(axis=1))  # else the norm doesn't matter
             if len(some):
-                value[some] += raw[some] / np.sqrt(self_kernel(c[some]))
+                norm = np.sqrt(self_kernel(c[some]))
+                value[some] /= norm if value.ndim == 1 else norm[:, None]
             np.maximum.at(out, of[g], value)
     return out
 
 
-def score_units(units: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
+def _windows(size: int) -> np.ndarray:
+    """Where the overlapping windows of a unit of so many characters begin."""
+    return np.unique(np.append(np.arange(0, max(1, size - ROOM), WIDTH // 2), max(0, size - ROOM)))
+
+
+def windows(unit: bytes) -> list[bytes]:
+    """The unit, or its overlapping windows where it is long, without characters that say nothing."""
+    raw = np.frombuffer(unit, np.uint8)
+    raw = raw[_CODE[raw] > 0]
+    return [raw[a : a + ROOM].tobytes() for a in _windows(len(raw)).tolist()]
+
+
+def score_units(units: list[bytes], weights: np.ndarray, floor: float = 0.0) -> np.ndarray:
     ends = np.cumsum([len(u) for u in units], dtype=np.int64)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if units else ends
-    return score_spans(np.frombuffer(b"".join(units), np.uint8), starts, ends, weights, bias)
+    return score_spans(np.frombuffer(b"".join(units), np.uint8), starts, ends, weights, floor)
 
 
 @cache
@@ -133,9 +161,11 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tensor(unit: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The normalised feature vector of one unit, of its first WIDTH characters: places and values."""
+    """The normalised feature vector of one unit of at most ROOM characters: places and values."""
     c = _CODE[np.frombuffer(unit, np.uint8)]
-    c = np.concatenate([[BEGIN], c[c > 0][: WIDTH - 2], [END]]).astype(np.int64)
+    c = np.concatenate([[BEGIN], c[c > 0], [END]]).astype(np.int64)
+    if len(c) < 3:
+        return np.empty(0, np.int64), np.empty(0)
     (i, j, k), v = _places(len(c))
     places, inverse = np.unique(c[i] * A * A + c[j] * A + c[k], return_inverse=True)
     values = np.bincount(inverse, v)
@@ -172,7 +202,10 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
 
 @dataclass
 class Units:
-    """Units of several texts: a hash, the place in ``data`` and the text of each, in the order of the texts."""
+    """Units but pairs of several texts: a hash, the place in ``data`` and the text of each, in the order of the texts.
+
+    ``word`` is the number of the word that a unit begins with; ``single`` tells words from what is joined.
+    """
 
     data: np.ndarray
     hash: np.ndarray
@@ -180,6 +213,13 @@ class Units:
     end: np.ndarray
     doc: np.ndarray
     word: np.ndarray
+    single: np.ndarray
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the first and of the second units of all pairs of neighbouring words of a text."""
+        at = np.flatnonzero(self.single)
+        same = self.doc[at[1:]] == self.doc[at[:-1]]
+        return at[:-1][same], at[1:][same]
 
     def bytes(self, i: np.ndarray) -> list[bytes]:
         raw = self.data.tobytes()
@@ -188,7 +228,7 @@ class Units:
 
 def units(texts: pa.Array) -> Units:
     w = tk.words(texts, folded=True)
-    data, found = w.data, [(w.start, w.end, w.hash, w.doc, np.arange(len(w.hash)))]
+    data, found = w.data, [(w.start, w.end, w.hash, w.doc, np.arange(len(w.hash)), np.ones(len(w.hash), bool))]
     # space-free runs without their inner punctuation; only those of two or more words are new
     inside = tk.WORD[data]
     if len(w.hash) > 1:
@@ -211,11 +251,11 @@ def units(texts: pa.Array) -> Units:
             joined = np.concatenate(pieces)
             ends = np.cumsum(sizes)
             h = tk.span_hash(joined, ends - sizes, ends)
-            found.append((ends - sizes + len(data), ends + len(data), h, doc[first], first))
+            found.append((ends - sizes + len(data), ends + len(data), h, doc[first], first, np.zeros(len(first), bool)))
             data = np.concatenate([data, joined])
-    start, end, h, doc, word = (np.concatenate(x) for x in zip(*found, strict=True))
+    start, end, h, doc, word, single = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(doc, kind="stable")
-    return Units(data, h[order], start[order], end[order], doc[order], word[order])
+    return Units(data, h[order], start[order], end[order], doc[order], word[order], single[order])
 
 
 def units_of(texts: list[str]) -> Units:
@@ -223,122 +263,232 @@ def units_of(texts: list[str]) -> Units:
     parts, docs, size = [], 0, 0
     for piece in tk.slices(pa.record_batch({"text": pa.array(texts, pa.string())})):
         u = units(piece.column("text"))
-        parts.append((u.data, u.hash, u.start + size, u.end + size, u.doc + docs, u.word))
+        parts.append((u.data, u.hash, u.start + size, u.end + size, u.doc + docs, u.word, u.single))
         docs, size = docs + piece.num_rows, size + len(u.data)
     return Units(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 @dataclass
 class Model:
+    """``weights`` has a column for single units and one for the first and the second words of pairs; -9 as the bias of
+    pairs means that there is no machine for them."""
+
     weights: np.ndarray
     bias: float
+    pair_bias: float
     threshold: float
 
+    @property
+    def used(self) -> np.ndarray:
+        return self.weights[:, 0] if self.pair_bias == -9.0 else self.weights
+
 
-def _witnesses(u: Units, context: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Hashes of the witness words."""
-    is_tox = toxic[u.doc]
-    n_tox, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    vocabulary, index = np.unique(u.hash, return_inverse=True)
+def _distinct(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each a under n, how many different b there are with it."""
+    if not len(a):
+        return np.zeros(n, np.int64)
+    _, first = np.unique(tk.mix(a.astype(np.uint64) ^ tk.mix(b.astype(np.uint64), 21), 22), return_index=True)
+    return np.bincount(a[first], minlength=n)
 
-    def distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if not len(a):
-            return np.zeros(len(vocabulary), np.int64)
-        _, first = np.unique(tk.mix(a ^ tk.mix(b, 21), 22), return_index=True)
-        return np.bincount(a[first].astype(np.int64), minlength=len(vocabulary))
 
-    support = np.minimum(distinct(index[is_tox].astype(np.uint64), context[is_tox]), distinct(index[is_tox].astype(np.uint64), u.doc[is_tox].astype(np.uint64)))
-    clean = distinct(index[~is_tox].astype(np.uint64), u.doc[~is_tox].astype(np.uint64))
-    pure = (support >= 3) & (support >= 20 * clean * n_tox / n_clean) & (clean <= 0.002 * n_clean + 0.05 * support)
-    # the chance that ``support`` holders of a word are all toxic, against the size of the vocabulary
+def _witnesses(names: np.ndarray, doc: np.ndarray, context: np.ndarray, toxic: np.ndarray, clean: np.ndarray, covered: np.ndarray, sure: bool) -> np.ndarray:
+    """Hashes of the witnesses among units of these names, which stand in these texts and contexts; texts with one become covered.
+
+    Sure ones are those that are very unlikely to be in toxic texts only by chance; else each that is in three or more
+    texts not yet covered, and hardly ever in clean ones, is taken, in the order of how many it covers.
+    """
+    is_tox, is_clean = toxic[doc], clean[doc]
+    n_tox, n_clean = max(1, int(toxic.sum())), max(1, int(clean.sum()))
+    vocabulary, index = np.unique(names, return_inverse=True)
+    size = len(vocabulary)
+    support = np.minimum(_distinct(index[is_tox], context[is_tox], size), _distinct(index[is_tox], doc[is_tox], size))
+    known = _distinct(index[is_clean], doc[is_clean], size)
+    pure = (support >= 3) & (support >= 20 * known * n_tox / n_clean) & (known <= 0.002 * n_clean + 0.05 * support)
+    # the chance that ``support`` holders of a unit are all toxic, against the size of the vocabulary
     chance = support * math.log(n_tox / (n_tox + n_clean))
-    chosen = set(np.flatnonzero(pure & (chance < math.log(1e-6 / len(vocabulary)))).tolist())
-    pairs = np.unique(np.stack([index[is_tox & pure[index]], u.doc[is_tox & pure[index]]]), axis=1)
-    covered = np.zeros(len(toxic), bool)
-    if chosen:
-        covered[pairs[1][np.isin(pairs[0], list(chosen))]] = True
-    ctx = context[is_tox & pure[index]]
-    cw, cd = index[is_tox & pure[index]], u.doc[is_tox & pure[index]]
+    likely = pure & (chance < math.log(1e-6 / max(1, size)))
+    own = is_tox & pure[index]
+    cw, cd, ctx = index[own], doc[own], context[own]
+    if sure:
+        covered[cd[likely[cw]]] = True
+        return vocabulary[likely]
+    chosen: list[int] = []
     while True:
         open_ = ~covered[cd]
-        gain = np.minimum(distinct(cw[open_].astype(np.uint64), ctx[open_]), distinct(cw[open_].astype(np.uint64), cd[open_].astype(np.uint64)))
+        gain = np.minimum(_distinct(cw[open_], ctx[open_], size), _distinct(cw[open_], cd[open_], size))
         best = int(np.argmax(gain)) if len(gain) else 0
         if not len(gain) or gain[best] < 3:
-            break
-        chosen.add(best)
+            return vocabulary[sorted(chosen)]
+        chosen.append(best)
         covered[cd[cw == best]] = True
-    return vocabulary[sorted(chosen)]
+
+
+#: A unit, as one string, or a pair, as two.
+Parts = tuple[bytes, ...]
+
+
+def _collapse(alpha: np.ndarray, vectors: list[list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+    """The weights of each part from the landmarks' factors."""
+    weights = np.zeros((A**3, len(vectors)))
+    for k, landmarks in enumerate(vectors):
+        for a, (p, v) in zip(alpha, landmarks, strict=True):
+            weights[p, k] += a * v
+    return weights
+
+
+class Machine:
+    """A linear machine over units of one or two parts; the value of a unit is the mean over its parts, plus the bias.
+
+    ``pool`` are the clean units; the parts of all are at most ROOM characters long.
+    """
+
+    def __init__(self, witnesses: list[Parts], pool: list[Parts], rng: np.random.Generator) -> None:
+        self.witnesses, self.pool, self.rng, self.parts = witnesses, pool, rng, len(witnesses[0])
+        self.vectors = [self._vectors(w) for w in witnesses]
+        self.varied = [self._vectors(v) for w in witnesses for v in self._vary(w)]
+        self.weights = np.zeros((A**3, self.parts))
+        for v in self.vectors:
+            for k, (p, x) in enumerate(v):
+                self.weights[p, k] += x / len(witnesses)
+        self.bias = -0.5
+        near = np.argsort(-self.values(pool), kind="stable")
+        even = np.unique(np.linspace(0, len(witnesses) - 1, min(LANDMARKS, len(witnesses))).astype(int))
+        self.landmarks = [self.vectors[i] for i in even] + [self._vectors(pool[i]) for i in near[: max(40, LANDMARKS - len(witnesses))]]
+        values, basis = np.linalg.eigh(self._kernel(self.landmarks))
+        good = values > 1e-6 * values[-1]
+        self.whiten = basis[:, good] / np.sqrt(values[good])
+        self.negatives = dict.fromkeys([*near[:NEAR].tolist(), *rng.permutation(len(pool))[:DRAWN].tolist()])
+        self.found: list[tuple[list, float]] = []
+
+    def _vectors(self, unit: Parts) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [tensor(p) for p in unit]
+
+    def _vary(self, unit: Parts) -> Iterator[Parts]:
+        letters = np.frombuffer(b"aeiounrtlsx1", np.uint8)
+        for n in range(VARIED):
+            part = n % len(unit)
+            p = unit[part]
+            k = int(self.rng.integers(1, len(p))) if len(p) > 1 else 1
+            yield (*unit[:part], windows(p[:k] + bytes([int(self.rng.choice(letters))]) + p[k:])[0], *unit[part + 1 :])
+
+    def _kernel(self, units: list) -> np.ndarray:
+        return sum(kernel([u[k] for u in units], [x[k] for x in self.landmarks]) for k in range(self.parts)) / self.parts
+
+    def values(self, units: list[Parts]) -> np.ndarray:
+        if not units:
+            return np.empty(0)
+        return sum(score_units([u[k] for u in units], self.weights[:, k], -9.0) for k in range(self.parts)) / self.parts + self.bias
+
+    def train(self) -> None:
+        neg = [self._vectors(self.pool[i]) for i in self.negatives]
+        x = self._kernel([*self.vectors, *self.varied, *(u for u, _ in self.found), *neg]) @ self.whiten
+        y = np.concatenate([np.ones(len(x) - len(neg)), -np.ones(len(neg))])
+        cost = np.concatenate([np.full(len(self.vectors), COSTS[0]), np.full(len(self.varied), COSTS[1]), [c for _, c in self.found], np.full(len(neg), COSTS[2])])
+        w, self.bias = squared_hinge(x, y, cost)
+        self.weights = _collapse(self.whiten @ w, [[u[k] for u in self.landmarks] for k in range(self.parts)])
+
+    def add_clean(self) -> bool:
+        """The worst clean units join the negatives; false if all have."""
+        before = len(self.negatives)
+        self.negatives |= dict.fromkeys(np.argsort(-self.values(self.pool), kind="stable")[:HARD].tolist())
+        return len(self.negatives) > before
+
+    def explain(self, worst: list[tuple[Parts, int]]) -> None:
+        """Units that make toxic texts toxic, by the machine as it is, and how many texts they do so."""
+        self.found = [(self._vectors(u), COSTS[2] * n) for u, n in worst]
+
+
+def _explanations(values: np.ndarray, doc: np.ndarray, toxic: np.ndarray, name: np.ndarray) -> list[tuple[int, int]]:
+    """(place of a unit, number of toxic texts): the worst unit of every toxic text whose value is positive."""
+    order = np.lexsort((-values, doc))
+    first = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])] if len(order) else order
+    first = first[toxic[doc[first]] & (values[first] > 0)]
+    _, at, n = np.unique(name[first], return_index=True, return_counts=True)
+    return list(zip(first[at].tolist(), n.tolist(), strict=True))
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
-    """The machine from labelled texts. With no toxic example or no witness it rejects nothing."""
-    none = Model(np.zeros(A**3), -1.0, 0.0)
-    place: dict[str, int] = {}
-    for i, t in enumerate(texts):
-        place.setdefault(t, i)
-    first = list(place.values())
-    texts, toxic = [texts[i] for i in first], np.asarray(toxic, bool)[first]
+    """The machines from labelled texts. Without an example of both classes there is nothing to learn, and nothing is rejected.
+
+    Of equal texts with different labels the toxic one counts.
+    """
+    toxic = np.asarray(toxic, bool)
+    label: dict[str, bool] = {}
+    for t, bad in zip(texts, toxic.tolist(), strict=True):
+        label[t] = label.get(t, False) or bad
+    texts, toxic = list(label), np.array(list(label.values()), bool)
+    model = Model(np.zeros((A**3, 3)), -9.0, -9.0, 0.0)
     if not toxic.any() or toxic.all():
-        return none
+        return model
     u = units_of(texts)
+    rng = np.random.default_rng(seed)
+    names, at, inverse = np.unique(u.hash, return_index=True, return_inverse=True)
+    strings = u.bytes(at)
+    clean = ~toxic
     context = np.zeros(len(u.hash), np.uint64)
     context[1:] = np.where(u.doc[1:] == u.doc[:-1], u.hash[:-1], 0)
-    names = _witnesses(u, context, toxic)
-    if not len(names):
-        return none
-    _, one = np.unique(u.hash, return_index=True)
-    clean_doc = ~toxic[u.doc]
-    clean_hash, clean_at = np.unique(u.hash[clean_doc], return_index=True)
-    clean_at = np.flatnonzero(clean_doc)[clean_at]
-    clean_at = clean_at[~np.isin(clean_hash, names)]
-    positives = u.bytes(one[np.searchsorted(u.hash[one], names)])
-    pool = u.bytes(clean_at)
-    rng = np.random.default_rng(seed)
-    varied = []
-    for p in positives:
-        for _ in range(4):
-            k = int(rng.integers(1, len(p))) if len(p) > 1 else 1
-            varied.append(p[:k] + bytes([int(rng.choice(np.frombuffer(b"aeiounrtlsx1", np.uint8)))]) + p[k:])
-    mean = np.zeros(A**3)
-    vectors = [tensor(p) for p in positives]
-    for p, v in vectors:
-        mean[p] += v / len(vectors)
-    near = np.argsort(-score_units(pool, mean, 0.0), kind="stable") if pool else np.empty(0, int)
-    take = [pool[i] for i in near[: max(40, LANDMARKS - len(positives))]]
-    landmarks = vectors[:LANDMARKS] + [tensor(p) for p in take]
-    own = kernel(landmarks, landmarks)
-    values, basis = np.linalg.eigh(own)
-    good = values > 1e-6 * values[-1]
-    whiten = basis[:, good] / np.sqrt(values[good])
-    pos = vectors + [tensor(v) for v in varied]
-    negatives = list(dict.fromkeys([*near[:800].tolist(), *rng.permutation(len(pool))[:1200].tolist()]))
-    weights, bias = mean, -0.5
-    for _ in range(3):
-        neg = [tensor(pool[i]) for i in negatives]
-        x = kernel(pos + neg, landmarks) @ whiten
-        y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-        cost = np.concatenate([np.full(len(vectors), 200.0), np.full(len(varied), 20.0), np.full(len(neg), 20.0)])
-        w, bias = squared_hinge(x, y, cost)
-        alpha = whiten @ w
-        weights = np.zeros(A**3)
-        for a, (p, v) in zip(alpha, landmarks, strict=True):
-            weights[p] += a * v
-        hard = np.argsort(-score_units(pool, weights, bias), kind="stable")[:400] if pool else []
-        more = [i for i in dict.fromkeys(map(int, hard)) if i not in set(negatives)]
-        if not more:
-            break
-        negatives += more
-    # the threshold with the best F1 over the labelled texts, as far from either class as it can be
-    _, at, inverse = np.unique(u.hash, return_index=True, return_inverse=True)
-    value = score_spans(u.data, u.start[at], u.end[at], weights, bias)[inverse]
     worst = np.full(len(texts), -9.0)
-    np.maximum.at(worst, u.doc, value)
+
+    def pieces(unit: bytes) -> list[Parts]:
+        return [(p,) for p in windows(unit)]
+
+    # sure words first, then sure pairs for what these leave open, and less sure words only for the rest
+    left, right = u.pairs()
+    pair = tk.mix(u.hash[left] * np.uint64(3) ^ tk.mix(u.hash[right], 31), 32)
+    doc, covered = u.doc[left], np.zeros(len(texts), bool)
+    chosen = _witnesses(u.hash, u.doc, context, toxic, clean, covered, True)
+    chosen_pairs = _witnesses(pair, doc, context[left], toxic & ~covered, clean, covered, True)
+    chosen = np.unique(np.concatenate([chosen, _witnesses(u.hash, u.doc, context, toxic, clean, covered, False)]))
+    if len(chosen):
+        good = np.searchsorted(names, chosen)
+        seen_clean = np.zeros(len(names), bool)
+        seen_clean[inverse[clean[u.doc]]] = True
+        seen_clean[good] = False
+        pool = list(dict.fromkeys(p for i in np.flatnonzero(seen_clean).tolist() for p in pieces(strings[i])))
+        m = Machine([p for i in good.tolist() for p in pieces(strings[i])], pool, rng)
+        for _ in range(ROUNDS):
+            m.train()
+            value = score_spans(u.data, u.start[at], u.end[at], m.weights[:, 0], 0.0) + m.bias
+            m.explain([(pieces(strings[inverse[i]])[0], n) for i, n in _explanations(value[inverse], u.doc, toxic, inverse)])
+            if not m.add_clean():
+                break
+        model.weights[:, 0], model.bias = m.weights[:, 0], m.bias
+        np.maximum.at(worst, u.doc, score_spans(u.data, u.start[at], u.end[at], m.weights[:, 0], 0.0)[inverse] + m.bias)
+    open_ = toxic & (worst <= 0)
+    if open_.sum() >= 3 and len(left):
+        pair_names, pair_at, pair_of = np.unique(pair, return_index=True, return_inverse=True)
+        chosen = np.searchsorted(pair_names, chosen_pairs)
+        if not len(chosen) and model.bias == -9.0:  # no witness at all: the likeliest pair of each text
+            odds = np.log1p(_distinct(pair_of[open_[doc]], doc[open_[doc]], len(pair_names))) - np.log1p(_distinct(pair_of[clean[doc]], doc[clean[doc]], len(pair_names)))
+            chosen = np.unique([pair_of[i] for i, _ in _explanations(odds[pair_of] + 1e-9, doc, open_, pair_of)]).astype(np.int64)
+        both = lambda i: tuple(windows(strings[inverse[x[pair_at[i]]]])[0] for x in (left, right))
+        seen_clean = np.zeros(len(pair_names), bool)
+        seen_clean[pair_of[clean[doc]]] = True
+        seen_clean[chosen] = False
+        pool_at = np.flatnonzero(seen_clean)
+        if len(chosen) and len(pool_at):
+            m = Machine([both(i) for i in chosen.tolist()], [both(i) for i in pool_at.tolist()], rng)
+            for _ in range(ROUNDS):
+                m.train()
+                value = _pair_values(score_spans(u.data, u.start[at], u.end[at], m.weights), inverse[left], inverse[right], m.bias)
+                m.explain([(both(pair_of[i]), n) for i, n in _explanations(value, doc, open_, pair_of)])
+                if not m.add_clean():
+                    break
+            model.weights[:, 1:], model.pair_bias = m.weights, m.bias
+            np.maximum.at(worst, doc, _pair_values(score_spans(u.data, u.start[at], u.end[at], m.weights), inverse[left], inverse[right], m.bias))
+    # the threshold with the best F1 over the labelled texts within WRONG, as far from either class as it can be
     order = np.argsort(-worst, kind="stable")
     hits = np.cumsum(toxic[order])
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + toxic.sum())
+    f1[np.arange(1, len(order) + 1) - hits > max(1, WRONG * clean.sum())] = 0
     best = int(np.argmax(f1))
     below = worst[order[best + 1]] if best + 1 < len(order) else worst[order[best]] - 1
-    return Model(weights, bias, float((worst[order[best]] + below) / 2))
+    model.threshold = float((worst[order[best]] + below) / 2)
+    return model
+
+
+def _pair_values(values: np.ndarray, first: np.ndarray, second: np.ndarray, bias: float) -> np.ndarray:
+    return (values[first, 0] + values[second, 1]) / 2 + bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -353,38 +503,50 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 class Scorer:
     """Scores texts by the worst unit; a worker keeps the values of the units it has met."""
 
-    ROOM = 3_000_000
+    KEPT = 3_000_000
 
     def __init__(self, model: Model) -> None:
-        self.model, self.keys, self.values = model, np.empty(0, np.uint64), np.empty(0)
+        self.model, self.keys = model, np.empty(0, np.uint64)
+        self.weights = model.used
+        self.values = np.empty((0, *self.weights.shape[1:]))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(score, worst word's number in its text); -9 and -1 for a text without a unit."""
+        """(score, worst unit's first word's number in its text); -9 and -1 for a text without a unit."""
         u = units(texts)
         n = len(texts)
         score, word = np.full(n, -9.0), np.full(n, -1)
         if not len(u.hash):
             return score, word
-        distinct, at, inverse = np.unique(u.hash, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        known = self.keys[place] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        value = np.empty(len(distinct))
+        names, at, inverse = np.unique(u.hash, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, names), max(0, len(self.keys) - 1))
+        known = self.keys[place] == names if len(self.keys) else np.zeros(len(names), bool)
+        value = np.empty((len(names), *self.weights.shape[1:]))
         value[known] = self.values[place[known]]
         fresh = at[~known]
-        value[~known] = score_spans(u.data, u.start[fresh], u.end[fresh], self.model.weights, self.model.bias)
+        value[~known] = score_spans(u.data, u.start[fresh], u.end[fresh], self.weights)
         if not known.all():
-            keys, values = (distinct, value) if len(self.keys) > self.ROOM else (np.concatenate([self.keys, distinct[~known]]), np.concatenate([self.values, value[~known]]))
+            keys, values = (names, value) if len(self.keys) > self.KEPT else (np.concatenate([self.keys, names[~known]]), np.concatenate([self.values, value[~known]]))
             order = np.argsort(keys, kind="stable")
             self.keys, self.values = keys[order], values[order]
-        each = value[inverse]
-        np.maximum.at(score, u.doc, each)
-        top = np.flatnonzero(each == score[u.doc])[::-1]
-        word[u.doc[top]] = u.word[top]
-        first = np.searchsorted(u.doc, np.arange(n))
-        return score, word - np.where(word >= 0, np.minimum.reduceat(u.word, np.minimum(first, len(u.word) - 1)), 0)
-
-
-def _score(docs: DataFrame, model: Model, columns: list[str], keep_toxic: bool, schema: str) -> DataFrame:
+        pairs = value.ndim == 2
+        each = (value[:, 0] if pairs else value)[inverse] + self.model.bias
+        doc, begins = u.doc, u.word
+        if pairs:
+            left, right = u.pairs()
+            each = np.concatenate([each, _pair_values(value[:, 1:], inverse[left], inverse[right], self.model.pair_bias)])
+            doc, begins = np.concatenate([doc, doc[left]]), np.concatenate([begins, begins[left]])
+        np.maximum.at(score, doc, each)
+        top = np.flatnonzero(each == score[doc])
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, doc[top], begins[top])
+        first = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(first, u.doc, u.word)
+        some = score > -9.0
+        word[some] = least[some] - first[some]
+        return score, word
+
+
+def _score(docs: DataFrame, model: Model, columns: list[str], keep_toxic: bool, schema: StructType | str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,13 +561,14 @@ def _score(docs: DataFrame, model: Model, columns: list[str], keep_toxic: bool,
                 else:
                     yield part.filter(pa.array(~bad))
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+    return docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in columns]).mapInArrow(run, schema)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, score, worst_word): the documents that the machine rejects; worst_word counts folded words from 0.
 
-    Null, empty and wordless texts are never rejected. Rows that repeat an id or a text get one row each. Very long
+    Null, empty and wordless texts are never rejected; ties go to the first of the worst words; a score that equals the
+    threshold is not rejected. Labels of one class only reject nothing. Rows that repeat an id or a text get one row each. Very long
     texts are read whole. Labels with a null are not used; contradicting labels of an id count as toxic. Other columns
     are not read. Empty tables give no rows.
     """
@@ -415,5 +578,4 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The documents without those that toxic_documents has, with all their columns."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _score(docs, fit(docs, labels, per_class), docs.columns, False, schema)
+    return _score(docs, fit(docs, labels, per_class), docs.columns, False, docs.schema)

@@ -61,6 +61,62 @@ def test_toxicity_held_out(spark):
     assert hit >= 0.9 and wrong <= 0.03
 
 
+def test_toxicity_phrases(spark):
+    """An insult that is a pair of words, each of which also stands in clean sentences, is learned from labels alone."""
+    rng = np.random.default_rng(3)
+    rows, toxic = [], []
+    for i in range(900):
+        words = prose(i + 8000, int(rng.integers(8, 25)), 200).split()
+        at = int(rng.integers(0, len(words)))
+        bad = i % 3 == 0
+        if bad:
+            words[at:at] = ["dumb", "cattle"] if i % 2 else ["rotten", "goblin"]
+        else:
+            for w in ["dumb", "cattle"] if i % 2 else ["rotten", "goblin"]:
+                words.insert(int(rng.integers(0, len(words))), w)
+            text = " ".join(words)
+            bad = "dumb cattle" in text or "rotten goblin" in text
+        rows.append((i, " ".join(words), "s"))
+        toxic.append(bad)
+    labels = spark.createDataFrame([(i, 1, int(toxic[i])) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"] for r in toxicity.toxic_documents(frame(spark, rows), labels).collect()}
+    held = range(600, 900)
+    hit = sum(i in got for i in held if toxic[i]) / sum(toxic[i] for i in held)
+    wrong = sum(i in got for i in held if not toxic[i]) / sum(not toxic[i] for i in held)
+    assert hit >= 0.9 and wrong <= 0.03, (hit, wrong)
+
+
+@pytest.mark.parametrize("pairs", [False, True])
+def test_toxicity_decision_by_explicit_sums(pairs):
+    """The scorer against the kernel's feature vectors of every unit and pair of every text, one by one."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    model = toxicity.Model(rng.standard_normal((toxicity.A**3, 3)), -0.2, -0.1 if pairs else -9.0, 0.5)
+    texts = ["one two three", "a b c d", "id-iot here", "x" * 50 + " tail", "größe 日本語 text", "", None, "!!", "some-long-compound-idiot again and again"]
+    score, word = toxicity.Scorer(model)(pa.array(texts))
+
+    def value(unit, k):
+        out = []
+        for v in toxicity.windows(unit):
+            p, x = toxicity.tensor(v)
+            out.append(x @ model.weights[p, k])
+        return max(out) if k else max(0.0, *out)
+
+    for t, got in zip(texts, score, strict=True):
+        u = toxicity.units(pa.array([t], pa.string()))
+        want = -9.0
+        strings = u.bytes(np.arange(len(u.hash)))
+        for unit in strings:
+            want = max(want, (value(unit, 0) if len(unit) > 1 or not unit.isascii() else 0.0) + model.bias)
+        if pairs:
+            for i, j in zip(*u.pairs(), strict=True):
+                parts = [max(0.0, value(strings[x], k)) if len(strings[x]) > 1 else 0.0 for k, x in ((1, i), (2, j))]
+                want = max(want, sum(parts) / 2 + model.pair_bias)
+        assert abs(got - want) < 1e-9, t
+    assert word[1] >= 0 and word[5] == word[6] == word[7] == -1
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
     kept = toxicity.drop_toxic(odd, labels)

@@ -2,8 +2,10 @@
 
 import duckdb
 import numpy as np
+import pytest
 
 from docgraph.llm import mixing, warc
+from docgraph.llm import tokens as tk
 from tests.llm.conftest import frame, prose
 
 
@@ -19,33 +21,63 @@ def test_apportion_brute():
         assert all(got.get(k, 0) == sum(x == k for _, x in ranked) for k in keys)
 
 
+def test_count_words():
+    import pyarrow as pa
+
+    texts = ["", None, "a", " a  b\tc\n", "\n", "größe 日本 x", "x" * 1000, "b"]
+    assert tk.count_words(pa.array(texts)).tolist() == [len((t or "").split()) for t in texts]
+
+
 def test_mixing_quotas_and_blocks(spark):
     rows = [(i, prose(i, 40 + i % 50), f"s{i % 3}") for i in range(300)]
-    out = mixing.mix_sources(frame(spark, rows), {"s0": 3, "s1": 1, "s2": 0}, block_tokens=64, shards=4).collect()
-    tokens = {}
+    want = {"s0": 3, "s1": 1, "s2": 0}
+    out = mixing.mixed_texts(frame(spark, rows), want, block_tokens=64, shard_tokens=1000).collect()
+    tokens, total = {}, {}
+    for i, t, s in rows:
+        total[s] = total.get(s, 0) + len(t.split())
     for r in out:
-        key = r["source"], r["shard"], r["block"]
+        key = r["source"], r["block"]
         tokens[key] = tokens.get(key, 0) + r["end_token"] - r["start_token"]
-        assert 0 <= r["start_token"] < r["end_token"] <= len(rows[r["doc_id"]][1].split())
-    assert set(tokens.values()) == {64}
+        assert r["text"].split() == rows[r["doc_id"]][1].split()[r["start_token"] : r["end_token"]] != []
+    assert all(n == 64 or k[1] == total[k[0]] // 64 for k, n in tokens.items())
     n = {s: sum(k[0] == s for k in tokens) for s in ("s0", "s1", "s2")}
     assert n["s2"] == 0 and n["s0"] > n["s1"] > 0
-    again = mixing.mix_sources(frame(spark, rows), {"s0": 3, "s1": 1, "s2": 0}, block_tokens=64, shards=4).collect()
-    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
+    assert len({r["shard"] for r in out}) > 3
+    again = mixing.mix_sources(frame(spark, rows), want, block_tokens=64, shard_tokens=1000).collect()
+    assert sorted(tuple(r)[:6] for r in out) == sorted(map(tuple, again))
 
 
-def test_mixing_oracle(spark):
+def test_mixing_loses_nothing(spark):
+    """With a fraction of one every word of every source is in a block, in whatever shards; small sources too."""
+    rows = [(i, prose(i, 10 + i % 7), f"small{i % 40}") for i in range(200)] + [(1000 + i, prose(i, 100), "hot") for i in range(60)]
+    for shard_tokens in (50, 1 << 20):
+        out = mixing.mix_sources(frame(spark, rows), fraction=1.0, block_tokens=256, shard_tokens=shard_tokens).collect()
+        assert len({r["source"] for r in out}) == 41
+        assert sum(r["end_token"] - r["start_token"] for r in out) == sum(len(t.split()) for _, t, _ in rows)
+
+
+@pytest.mark.parametrize("shard_tokens", [2000, mixing.SHARD_TOKENS])
+def test_mixing_oracle(spark, shard_tokens):
     rows = [(i, prose(i, 300 + i), ["a", "b", None][i % 3]) for i in range(60)]
     df = frame(spark, rows)
     documents = df.select("doc_id", "text", "source").toPandas()  # noqa: F841 — DuckDB reads it by name
-    want = duckdb.sql(mixing.oracle()).fetchall()
-    assert sorted(map(tuple, mixing.mix_sources(df).collect())) == sorted(want)
+    want = duckdb.sql(mixing.oracle(shard_tokens=shard_tokens)).fetchall()
+    assert sorted(map(tuple, mixing.mix_sources(df, shard_tokens=shard_tokens).collect())) == sorted(want)
 
 
-def test_mixing_odd(spark, odd, none):
-    assert mixing.mix_sources(none).count() == 0
-    out = mixing.mix_sources(odd, fraction=1.0, block_tokens=100).collect()
-    assert {r["doc_id"] for r in out} == {6}
+def test_mixing_odd(spark, odd, odd_rows, none):
+    assert mixing.mix_sources(none).count() == 0 and mixing.mixed_texts(none).count() == 0
+    out = mixing.mixed_texts(odd, fraction=1.0, block_tokens=100).collect()
+    words = {}
+    for r in out:
+        words.setdefault((r["source"], r["doc_id"]), []).extend(r["text"].split())
+        assert len(r["text"].split()) == r["end_token"] - r["start_token"]
+    want = {}
+    for i, t, s in odd_rows:
+        if i is not None and t and t.split():
+            want.setdefault((s or "unknown", i), []).extend(t.split())
+    assert {k: sorted(v) for k, v in words.items()} == {k: sorted(v) for k, v in want.items()}
+    assert words["b", 4] == ["word", "word"]
 
 
 def pages(spark, rows):
