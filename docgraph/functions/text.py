@@ -17,9 +17,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The characters of WS, one by one.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85 \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column | str) -> Column:
     """Without white space, of any kind, at either end."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.trim(col(c), F.lit(SPACES))
 
 
 def clean(c: Column | str, patterns: list[str] | None = None) -> Column:

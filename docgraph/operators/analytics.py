@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions.text import col
+from docgraph.operators.lineage import free_name
 
 
 def _rolling(keys: list[str], order: list[str], n: int) -> Any:
@@ -66,7 +67,8 @@ def macd(df: DataFrame, value: str, keys: list[str], order: list[str], fast: int
 def screen(df: DataFrame, keys: list[str], order: list[str], value: str = "rsi", low: float = 30, high: float = 70) -> DataFrame:
     """Each series' last row with a signal: BUY under ``low``, SELL over ``high``, else HOLD."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    latest = df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    n = free_name(df, "__n")
+    latest = df.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
     return latest.withColumn("signal", F.when(F.col(value) < low, "BUY").when(F.col(value) > high, "SELL").otherwise("HOLD"))
 
 
@@ -79,15 +81,36 @@ def score_card(df: DataFrame, value: str, volume: str, keys: list[str], order: l
     out = bollinger(moving_averages(rsi(df, value, keys, order), value, keys, order, (5, 20)), value, keys, order)
     out = moving_averages(out, volume, keys, order, (20,), "vol_ma")
     w = Window.partitionBy(*keys).orderBy(*order)
-    prev = {f"__{c}{n}": F.lag(c, n).over(w) for c in ("rsi", "sma5", "sma20", value) for n in (1, 2)}
-    out = out.withColumns(prev)
-    c = F.col
+    names = {(x, n): free_name(out, f"__{x}_{n}") for x in ("rsi", "sma5", "sma20", value) for n in (1, 2)}
+    out = out.withColumns({name: F.lag(x, n).over(w) for (x, n), name in names.items()})
+    c, was = F.col, lambda x, n=1: F.col(names[x, n])
     tests = [
-        c("rsi") < 30, c(value) > c("sma20"), c("sma5") > c("sma20"), c(volume) > c("vol_ma20"), c(value) < c("bb_lower"), c("rsi") > c("__rsi1"),
-        (c("rsi") > c("__rsi1")) & (c("__rsi1") > c("__rsi2")), c(value) > c(f"__{value}1"), (c("sma5") > c("sma20")) & (c("__sma51") <= c("__sma201")),
+        c("rsi") < 30, c(value) > c("sma20"), c("sma5") > c("sma20"), c(volume) > c("vol_ma20"), c(value) < c("bb_lower"), c("rsi") > was("rsi"),
+        (c("rsi") > was("rsi")) & (was("rsi") > was("rsi", 2)), c(value) > was(value), (c("sma5") > c("sma20")) & (was("sma5") <= was("sma20")),
     ]
     score = sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0))
-    return out.withColumn("score", score).withColumn("grade", F.when(c("score") >= 7, "A").when(c("score") >= 5, "B").when(c("score") >= 3, "C").otherwise("D")).drop(*prev)
+    return out.withColumn("score", score).withColumn("grade", F.when(c("score") >= 7, "A").when(c("score") >= 5, "B").when(c("score") >= 3, "C").otherwise("D")).drop(*names.values())
+
+
+def split_by(df: DataFrame, column: str, values: list[Any]) -> dict[Any, DataFrame]:
+    """The rows of each value; rows of another value, or none, are in no part."""
+    return {v: df.where(F.col(column) == F.lit(v)) for v in values}
+
+
+def concat(parts: dict[Any, DataFrame], label: str) -> DataFrame:
+    """The parts under one another, each with its name; columns that a part lacks are null."""
+    out = None
+    for name, df in parts.items():
+        named = df.withColumn(label, F.lit(name))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no parts")
+    return out
+
+
+def sorted_rows(df: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
+    """The rows by columns, each ascending (true) or descending, nulls last; a range shuffle, and a sort in each range."""
+    return df.orderBy(*[F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in order])
 
 
 def with_events(series: DataFrame, events: DataFrame, on: list[str], values: list[str]) -> DataFrame:
@@ -120,7 +143,8 @@ def latest_change(df: DataFrame, value: str, keys: list[str], order: list[str])
     """Each series' last value against the one before."""
     w = Window.partitionBy(*keys).orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    out = df.withColumns({"previous": F.lag(value).over(w), "__n": F.row_number().over(last)}).where("__n = 1").drop("__n")
+    n = free_name(df, "__n")
+    out = df.withColumns({"previous": F.lag(value).over(w), n: F.row_number().over(last)}).where(F.col(n) == 1).drop(n)
     return out.withColumn("change_pct", change_percent(F.col(value), F.col("previous")))
 
 
@@ -218,23 +242,36 @@ def nearest(df: DataFrame, vector: list[float], k: int = 5, features: str = "emb
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
-def nearest_batch(df: DataFrame, queries: DataFrame, k: int = 5, features: str = "embedding", id_col: str = "vec_id", most: int = 20_000) -> DataFrame:
-    """(query_id, id, score, rank) for every query; a self-pair counts. Each task keeps ``k`` a query before the shuffle.
+def nearest_batch(df: DataFrame, queries: DataFrame, k: int = 5, features: str = "embedding", id_col: str = "vec_id", block: int = 20_000, itself: bool = True) -> DataFrame:
+    """(query_id, id, score, rank) for every query; rows with the query's own id count only if ``itself`` is set.
 
-    A batch of rows is scored against all queries at once in numpy, in the task that holds it, and only its k best for
-    each query leave: what is shuffled is queries x k x tasks. The queries go to every task; over ``most`` of
-    them are refused, never cut.
+    A batch of rows is scored against a block of queries at once in numpy, in the task that holds it, and only its k best
+    for each query leave: what is shuffled is queries x k x tasks. Queries are broadcast in blocks of at most ``block``,
+    each a scan of ``df``.
     """
+    found = None
+    held: list[Any] = []
+    for row in queries.where(F.col(features).isNotNull()).select(id_col, features).toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            part = _nearest_block(df, held, k, features, id_col, itself)
+            found, held = part if found is None else found.unionByName(part), []
+    if held or found is None:
+        part = _nearest_block(df, held, k, features, id_col, itself)
+        found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest_block(df: DataFrame, rows: list[Any], k: int, features: str, id_col: str, itself: bool) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    rows = queries.where(F.col(features).isNotNull()).select(id_col, features).orderBy(id_col).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} queries: search them in parts")
-    ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+    sent = df.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Any) -> Any:
+        ids, q = sent.value
         best: dict[int, list[tuple[float, Any]]] = {}
         for pdf in batches:
             if not len(ids) or not len(pdf):
@@ -243,15 +280,13 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int = 5, features: str =
             score = np.round(1 - np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (q**2).sum(1) - 2 * x @ q.T)), 6)
             own = pdf[id_col].to_numpy()
             for j in range(len(ids)):
-                s = score[:, j]
+                s = score[:, j] if itself else np.where(own == ids[j], -np.inf, score[:, j])
                 cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                found = best.get(j, []) + [(-float(s[i]), own[i]) for i in np.flatnonzero(s >= cut)]
+                found = best.get(j, []) + [(-float(s[i]), own[i]) for i in np.flatnonzero((s >= cut) & (s > -np.inf))]
                 best[j] = sorted(found)[:k]
         yield pd.DataFrame([(ids[j], i, -s) for j, found in best.items() for s, i in found], columns=["query_id", id_col, "score"])
 
-    out = df.where(F.col(features).isNotNull()).select(id_col, features).mapInPandas(run, f"query_id {kind}, {id_col} {kind}, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return df.where(F.col(features).isNotNull()).select(id_col, features).mapInPandas(run, f"query_id {kind}, {id_col} {kind}, score double")
 
 
 def sql(spark: SparkSession, statement: str, views: dict[str, DataFrame] | None = None, **args: Any) -> DataFrame:
@@ -270,6 +305,7 @@ def rag_prompt(contexts: DataFrame, query: str, text: str = "content", order: li
 def upsert(existing: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """``existing`` with the last change of each key over it; null fields of a change overwrite too."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    last = changes.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", order)
+    n = free_name(changes, "__n")
+    last = changes.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n, order)
     kept = existing.join(last.select(*keys), keys, "left_anti")
     return kept.unionByName(last)

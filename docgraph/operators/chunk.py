@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,21 +14,24 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import text as tx
 from docgraph.operators import kernels
+from docgraph.operators.lineage import free_name
 
 
 def fixed_chunks(df: DataFrame, size: int = 1000, overlap: int = 0, content: str = "content", id_col: str = "doc_id") -> DataFrame:
     """(id, part_index, content): windows at 0, step, 2 step and so on, as long as they start within the text."""
+    return _windows(df, size, overlap, content, id_col).select(id_col, "part_index", "content")
+
+
+def _windows(df: DataFrame, size: int, overlap: int, content: str, id_col: str) -> DataFrame:
     kernels.check_sizes(size, overlap)
-    step = size - overlap
-    at = F.sequence(F.lit(0), F.length(content) - 1, F.lit(step))
+    at = F.sequence(F.lit(0), F.length(content) - 1, F.lit(size - overlap))
     out = df.where(F.length(content) > 0).select(id_col, F.col(content).alias("__t"), F.posexplode(at).alias("part_index", "__s"))
-    return out.select(id_col, "part_index", F.substring("__t", F.col("__s") + 1, F.lit(size)).alias("content"))
+    return out.select(id_col, "part_index", F.substring("__t", F.col("__s") + 1, F.lit(size)).alias("content"), F.length("__t").alias("original_length"))
 
 
 def audited_chunks(df: DataFrame, size: int = 1000, overlap: int = 0, version: str = "1.0", content: str = "content", id_col: str = "doc_id") -> DataFrame:
-    """fixed_chunks with the text's length, a version and the time."""
-    lengths = df.select(id_col, F.length(content).alias("original_length"))
-    return fixed_chunks(df, size, overlap, content, id_col).join(lengths, id_col).withColumns({"version": F.lit(version), "processed_at": F.current_timestamp()})
+    """fixed_chunks with the text's own length, also where rows repeat an id, a version and the time."""
+    return _windows(df, size, overlap, content, id_col).withColumns({"version": F.lit(version), "processed_at": F.current_timestamp()})
 
 
 def structure_sections(df: DataFrame, separator: str = r"\n\n", content: str = "content", id_col: str = "doc_id", size: int | None = None) -> DataFrame:
@@ -61,24 +65,19 @@ def recursive_chunks(df: DataFrame, size: int = 1000, overlap: int = 100, conten
     return parts.select(F.concat_ws("_part_", F.col(id_col).cast("string"), "part_index").alias("chunk_id"), id_col, "part_index", "content")
 
 
-#: Chapters up to this number are broadcast; more are joined by time bins.
-BROADCAST_ROWS = 10_000
-
-
 def interval_chunks(records: DataFrame, intervals: DataFrame, scope: list[str], time: str, order: list[str], text: str, bins: int = 1000) -> DataFrame:
     """Groups of records by half-open chapters (title, start_time, end_time); records between chapters stay in the open one.
 
-    A few chapters are broadcast; where they are many, both sides are cut into time bins and joined by those.
+    Both sides are cut into time bins and joined by those, so that a record only meets the chapters of its bin.
     """
     c, inside = F.col, (F.col(time) >= F.col("start_time")) & (F.col(time) < F.col("end_time"))
-    if len(intervals.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
-        joined = records.join(F.broadcast(intervals), inside, "left")
-    else:
-        low, high = intervals.agg(F.min("start_time"), F.max("end_time")).first()
-        width = max((float(high) - float(low)) / bins, 1e-9)
-        at = lambda x: F.floor((x - F.lit(float(low))) / width)
-        cut = intervals.withColumn("__b", F.explode(F.sequence(at(c("start_time")), at(c("end_time")))))
-        joined = records.withColumn("__b", at(c(time))).join(cut.withColumnRenamed("__b", "__c"), (c("__b") == c("__c")) & inside, "left").drop("__b", "__c")
+    low, high = intervals.agg(F.min("start_time"), F.max("end_time")).first()
+    low, high = (0.0, 0.0) if low is None or high is None else (float(low), float(high))
+    width = max((high - low) / bins, 1e-9)
+    at = lambda x: F.floor((x - F.lit(low)) / width)
+    a, b = free_name(records, "__a"), free_name(records, "__b")
+    cut = intervals.where("start_time < end_time").withColumn(b, F.explode(F.sequence(at(c("start_time")), at(c("end_time")))))
+    joined = records.withColumn(a, at(c(time))).join(cut, (c(a) == c(b)) & inside, "left").drop(a, b)
     carried = F.last("title", ignorenulls=True).over(Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return record_groups(joined.withColumn("title", carried), [*scope, "title"], time, order, text)
 
@@ -116,40 +115,56 @@ def histogram(bins: int = 10) -> Callable[[Column], Column]:
 
     @F.pandas_udf("array<double>")
     def count(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> np.ndarray:
-            n = np.bincount(np.frombuffer((t or "").encode("utf-32-le"), np.uint32) % bins, minlength=bins).astype(float)
-            return n / max(np.linalg.norm(n), 1e-300)
-
-        return texts.map(one)
+        return texts.map(lambda t: character_histogram(t or "", bins))
 
     return count
 
 
+def character_histogram(text: str, bins: int = 10) -> np.ndarray:
+    n = np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % bins, minlength=bins).astype(float)
+    return n / max(np.linalg.norm(n), 1e-300)
+
+
 def semantic_chunks(df: DataFrame, threshold: float = 0.5, content: str = "content", id_col: str = "doc_id") -> DataFrame:
     """(id, part_index, content, n): sentences, joined as long as each is like the one before.
 
     Sentences end at ". " or a newline; two are alike if the cosine of their histograms reaches the threshold.
     """
-    sentences = df.select(id_col, F.posexplode(F.split(F.replace(F.col(content), F.lit("\n"), F.lit(". ")), r"\. ")).alias("i", "sentence")).withColumn("sentence", tx.strip("sentence")).where("sentence <> ''")
-    order = Window.partitionBy(id_col).orderBy("i")
-    vectors = sentences.withColumn("v", histogram()(F.col("sentence")))
-    before = F.lag("v").over(order)
-    like = F.aggregate(F.zip_with("v", "b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    marked = vectors.withColumn("b", before).withColumn("new", F.when(F.col("b").isNull(), 0).when(F.round(like, 9) < threshold, 1).otherwise(0))
-    grouped = marked.withColumn("part_index", F.sum("new").over(order)).groupBy(id_col, "part_index")
-    return grouped.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), ". ").alias("content"), F.count("*").alias("n"))
+
+    @F.pandas_udf("array<struct<content:string,n:bigint>>")
+    def split(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict[str, Any]]:
+            parts = [p for x in (text or "").replace("\n", ". ").split(". ") if (p := x.strip(tx.SPACES))]
+            if not parts:
+                return []
+            v = np.stack([character_histogram(p) for p in parts])
+            new = np.append(True, np.round(np.einsum("ij,ij->i", v[1:], v[:-1]), 9) < threshold)
+            first = np.flatnonzero(new).tolist()
+            return [{"content": ". ".join(parts[a:b]), "n": b - a} for a, b in zip(first, [*first[1:], len(parts)], strict=True)]
+
+        return texts.map(one)
+
+    out = df.select(id_col, F.posexplode(split(F.col(content))).alias("part_index", "c"))
+    return out.select(id_col, F.col("part_index").cast("bigint").alias("part_index"), "c.*")
 
 
 def parent_child_chunks(df: DataFrame, parent_size: int = 2000, child_size: int = 400, content: str = "content", id_col: str = "doc_id", fixed: bool = False) -> DataFrame:
-    """(chunk_id, parent_id, is_parent, content, child_ids): parents, and children cut from each."""
+    """(chunk_id, parent_id, is_parent, content, child_ids): parents, and children cut from each.
+
+    A parent's children are cut and named in its own row: rows that repeat an id have parents of the same name, each with
+    its own children.
+    """
     key = F.col(id_col).cast("string")
     parents = fixed_chunks(df, parent_size, 0, content, id_col) if fixed else recursive_chunks(df, parent_size, 0, content, id_col)
     parents = parents.select(F.concat(key, F.lit("_parent_"), "part_index").alias("parent_id"), "content")
-    cut = fixed_chunks(parents, child_size, 0, "content", "parent_id") if fixed else recursive_chunks(parents, child_size, 0, "content", "parent_id")
-    children = cut.select("parent_id", "part_index", F.concat("parent_id", F.lit("_c"), "part_index").alias("chunk_id"), "content")
-    ids = children.groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("child_ids"))
-    own = parents.join(ids, "parent_id", "left").select(F.col("parent_id").alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(True).alias("is_parent"), "content", "child_ids")
-    return own.unionByName(children.select("chunk_id", "parent_id", F.lit(False).alias("is_parent"), "content", F.lit(None).cast("array<string>").alias("child_ids")))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("content") - 1, F.lit(0)), F.lit(child_size))
+    pieces = F.transform(starts, lambda s: F.substring(F.col("content"), s + 1, F.lit(child_size))) if fixed else recursive_pieces(child_size, 0)(F.col("content"))
+    name = lambda i: F.concat("parent_id", F.lit("_c"), i.cast("string"))
+    cut = parents.withColumn("pieces", pieces).withColumn("ids", F.transform("pieces", lambda x, i: name(i)))
+    none = F.lit(None).cast("string")
+    own = F.struct(F.col("parent_id").alias("chunk_id"), none.alias("parent_id"), F.lit(True).alias("is_parent"), "content", F.when(F.size("ids") > 0, F.col("ids")).alias("child_ids"))
+    children = F.transform("pieces", lambda x, i: F.struct(name(i).alias("chunk_id"), F.col("parent_id"), F.lit(False).alias("is_parent"), x.alias("content"), F.lit(None).cast("array<string>").alias("child_ids")))
+    return cut.select(F.explode(F.concat(F.array(own), children)).alias("c")).select("c.*")
 
 
 _JSON = "struct<parts:array<struct<content:string,json_path:string,first:int,last:int,count:int>>,error:string>"
@@ -206,6 +221,13 @@ def whole_chunks(df: DataFrame, content: str = "content", id_col: str = "doc_id"
     return df.select(id_col, F.lit(0).alias("part_index"), F.col(content).alias("content"))
 
 
+def page_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, part_index, content): every page with content of parsed documents (see office.parse_documents) a chunk."""
+    from docgraph.operators.refine import document_markdown
+
+    return document_markdown(docs).where("type = 'md'").select("doc_id", F.col("block_idx").alias("part_index"), "content")
+
+
 def flatten_items(df: DataFrame, items: str, meta: str, item_meta: str = "metadata") -> DataFrame:
     """A row for every item of an array of (content, metadata); the item's metadata win over the parent's."""
     out = df.withColumn("__i", F.explode(items))
@@ -222,11 +244,27 @@ def word_windows(df: DataFrame, size: int = 5, overlap: int = 2, content: str =
 
 
 def line_sections(df: DataFrame, starts: str, content: str = "content", id_col: str = "doc_id") -> DataFrame:
-    """(id, section, content): a new section at every line that the pattern matches."""
-    lines = df.select(id_col, F.posexplode(F.split(content, "\n")).alias("i", "line"))
-    section = F.sum(F.col("line").rlike(starts).cast("int")).over(Window.partitionBy(id_col).orderBy("i"))
-    grouped = lines.withColumn("section", section).groupBy(id_col, "section")
-    return grouped.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    """(id, section, content): a new section at every line that the pattern, one of Python's, matches.
+
+    Sections are numbered by such lines: what is before the first has number 0.
+    """
+
+    @F.pandas_udf("array<struct<section:bigint,content:string>>")
+    def split(texts: pd.Series) -> pd.Series:
+        begins = re.compile(starts)
+
+        def one(text: str | None) -> list[dict[str, Any]]:
+            if text is None:
+                return []
+            lines = text.split("\n")
+            first = [i for i, line in enumerate(lines) if begins.search(line)]
+            out = [(0, lines[: first[0] if first else len(lines)])] if not first or first[0] else []
+            out += [(k + 1, lines[a:b]) for k, (a, b) in enumerate(zip(first, [*first, len(lines)][1:], strict=True))]
+            return [{"section": k, "content": "\n".join(part)} for k, part in out]
+
+        return texts.map(one)
+
+    return df.select(id_col, F.explode(split(F.col(content))).alias("c")).select(id_col, "c.*")
 
 
 def sentences(df: DataFrame, content: str = "content", id_col: str = "doc_id") -> DataFrame:
@@ -244,13 +282,18 @@ def cluster_sentences(vectors: DataFrame, k: int = 2, seed: int = 1, features: s
 
 
 def topic_chunks(df: DataFrame, topics: int = 3, seed: int = 1, terms: int = 5, content: str = "content", id_col: str = "doc_id") -> DataFrame:
-    """(id, topic, words): each text's likeliest topic, with the topic's weightiest words."""
+    """(id, topic, words): each text's likeliest topic, with the topic's weightiest words.
+
+    All words count, however rare: the vocabulary is as large as the number of different words. Texts without a word
+    have no row.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     words = df.select(id_col, F.regexp_extract_all(F.lower(content), F.lit(r"\p{L}+"), F.lit(0)).alias("w")).where("size(w) > 0")
-    counter = CountVectorizer(inputCol="w", outputCol="features", vocabSize=5000, minDF=2).fit(words)
+    different = words.select(F.explode("w").alias("w")).distinct().count()
+    counter = CountVectorizer(inputCol="w", outputCol="features", vocabSize=max(1, different), minDF=1).fit(words)
     counted = counter.transform(words)
     model = LDA(k=topics, seed=seed, maxIter=10).fit(counted)
     names = [[counter.vocabulary[i] for i in r["termIndices"]] for r in model.describeTopics(terms).orderBy("topic").collect()]

@@ -255,10 +255,10 @@ class CodeGraph:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """(node, hop): nodes within ``depth`` undirected steps of the seeds (node), with the least number of steps.
 
-    Each hop joins the frontier alone to the edges and ends in a reliable checkpoint, so that plans don't grow with the
-    depth.
+    Edges are read and made undirected once. Each hop joins the frontier alone to them and ends in a reliable checkpoint,
+    so that plans don't grow with the depth.
     """
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    both = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct())
     seen = cut(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, depth + 1):
         front = seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("a"))

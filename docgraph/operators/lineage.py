@@ -8,8 +8,19 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """A reliable checkpoint in the cluster's shared folder; where none is set a temporary one in local mode, as in tests, else an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docgraph-checkpoint-"))
+        found = sc.getConf().get("spark.checkpoint.dir", None)
+        if not found and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="docgraph-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docgraph.functions import text as tx
+from docgraph.operators.lineage import free_name
 
 ELEMENT = "struct<type:string, text:string, data:array<array<string>>, semantic_type:string, heading_level:int, list_level:int, ocr_text:string>"
 PAGES = f"array<struct<page_num:int, elements:array<{ELEMENT}>, header_elements:array<{ELEMENT}>, footer_elements:array<{ELEMENT}>>>"
@@ -83,6 +84,19 @@ def html_title(html: Column | str) -> Column:
     return tx.strip(F.regexp_extract(tx.col(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+def html_meta(html: Column | str) -> Column:
+    """The page's meta tags with a name or property and a content, quoted by double quotes, as a map; the first of a name counts."""
+    text = tx.col(html)
+    named = lambda first, second, at: F.transform(
+        F.arrays_zip(F.regexp_extract_all(text, F.lit(rf'(?is)<meta\s[^>]*?{first}[^>]*?\s{second}[^>]*>'), F.lit(at)).alias("k"), F.regexp_extract_all(text, F.lit(rf'(?is)<meta\s[^>]*?{first}[^>]*?\s{second}[^>]*>'), F.lit(3 - at)).alias("v")),
+        lambda x: F.struct(F.lower(x["k"]).alias("key"), x["v"].alias("value")),
+    )
+    name, content = r'(?:name|property)="([^"]*)"', r'content="([^"]*)"'
+    found = F.concat(named(name, content, 1), named(content, name, 2))
+    keys = F.transform(found, lambda x: x["key"])
+    return F.map_from_entries(F.filter(found, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
+
+
 ID_KEYS = ("id", "_id", "uuid", "video_id", "uid", "original_id")
 
 
@@ -127,9 +141,11 @@ def dedup_blocks(df: DataFrame, content: str, order: list[str], scope: list[str]
 
     Exact and null-safe: contents are compared by their SHA-256, null contents always stay.
     """
-    w = Window.partitionBy(*(scope or []), F.sha2(content, 256)).orderBy(*order)
-    kept = df.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | F.col(content).isNull() | (F.length(content) < shortest))
-    return kept.drop("__n")
+    stays = F.col(content).isNull() | (F.length(content) < shortest)
+    key = F.when(stays, F.xxhash64(*order).cast("string")).otherwise(F.sha2(content, 256))  # what stays anyway is spread, however much of it there is
+    n = free_name(df, "__n")
+    w = Window.partitionBy(*(scope or []), key).orderBy(*order)
+    return df.withColumn(n, F.row_number().over(w)).where((F.col(n) == 1) | stays).drop(n)
 
 
 def impute(df: DataFrame, defaults: dict[str, Any]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import text as tx
 from docgraph.operators import chunk, graph, refine
+from docgraph.operators.lineage import cut
 from docgraph.plans.registry import query, table
 from docgraph.plans.text_queries import S_P02, docs
 
@@ -91,7 +92,10 @@ def w06(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_edges(spark: SparkSession, d: str) -> DataFrame:
-    n = graph.document_nodes(doc_chunks(spark, d))
+    return edges_of(graph.document_nodes(doc_chunks(spark, d)))
+
+
+def edges_of(n: DataFrame) -> DataFrame:
     rel = n.where("parent_node IS NOT NULL").select("node_id", F.create_map(F.lit("hasParent"), F.array("parent_node")).alias("relationships"))
     return graph.relation_edges(rel)
 
@@ -189,7 +193,11 @@ def v05(spark: SparkSession, d: str) -> DataFrame:
     "SELECT node_class, type, count(*) AS n FROM n JOIN e ON n.node_id = e.s GROUP BY 1, 2",
 )
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Documents to a graph, and its edges counted by the class of their source: one shuffle to dedup, one to join, one to count."""
-    nodes = graph.document_nodes(doc_chunks(spark, d).withColumn("semantic_type", F.lit("text")))
-    e = graph.with_reverse(chunk_edges(spark, d))
+    """Documents to a graph, and its edges counted by the class of their source.
+
+    One shuffle of texts to dedup them. What the graph is made of, without the texts, is then kept by a checkpoint, and
+    nodes and edges are two looks at it: one shuffle joins them and one counts.
+    """
+    kept = cut(graph.document_nodes(doc_chunks(spark, d).withColumn("semantic_type", F.lit("text"))).select("node_id", "node_class", "parent_node"))
+    nodes, e = kept.select("node_id", "node_class"), graph.with_reverse(edges_of(kept))
     return nodes.select(F.col("node_id").alias("source"), "node_class").join(e, "source").groupBy("node_class", "type").agg(F.count("*").alias("n"))

@@ -53,19 +53,17 @@ def p03(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", tx.mask_pii("content").alias("content"), n(tx.EMAIL).alias("n_mail"), n(tx.PHONE).alias("n_phone"))
 
 
-S_PAGE_TEXT = "'See [page ' || page_id || '](' || url || ') or ' || url || ' and https://x.example/' || page_id || ' too'"
+S_RAW = r"https?://[^\s\)\]<>\"]+"
 
 
 @query(
     "p04_links",
-    f"WITH t AS (SELECT page_id, {S_PAGE_TEXT} AS content FROM pages WHERE url LIKE 'http%') "
-    "SELECT page_id, 'page ' || page_id || '|' || url || ';' || '|https://x.example/' || page_id AS links, 'See page ' || page_id || ' or and too' AS content FROM (SELECT t.page_id, p.url FROM t JOIN pages p USING (page_id))",
+    f"WITH t AS (SELECT page_id, html AS x, regexp_extract_all(html, '{tx.MARKDOWN_LINK}', 1) AS ti, regexp_extract_all(html, '{tx.MARKDOWN_LINK}', 2) AS u, regexp_extract_all(html, '{S_RAW}') AS raw FROM pages) "
+    "SELECT page_id, CAST(len(u) + len(list_filter(list_distinct(raw), lambda r: NOT list_contains(u, r))) AS INTEGER) AS n_links, "
+    f"{s_strip(s_all(s_all(s_all('x', tx.MARKDOWN_LINK, chr(92) + '1'), S_RAW, ''), WS + '+', ' '))} AS content FROM t",
 )
 def p04(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").where("url LIKE 'http%'")
-    text = F.concat(F.lit("See [page "), "page_id", F.lit("]("), "url", F.lit(") or "), "url", F.lit(" and https://x.example/"), "page_id", F.lit(" too"))
-    found = F.array_join(F.transform(tx.links(text), lambda x: F.concat(x["title"], F.lit("|"), x["url"])), ";")
-    return p.select("page_id", found.alias("links"), tx.without_links(text).alias("content"))
+    return table(spark, d, "pages").select("page_id", F.size(tx.links("html")).alias("n_links"), tx.without_links("html").alias("content"))
 
 
 @query("p05_dedup", "SELECT doc_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1 OR length(text) < 5 OR text IS NULL")
@@ -160,6 +158,16 @@ def n07(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", refine.html_text("html").alias("content"), refine.html_title("html").alias("title"))
 
 
+@query(
+    "n07_html_meta",
+    "WITH m AS (SELECT page_id, unnest(list_zip(range(len(k)), k, v)) AS x FROM (SELECT page_id, list_concat(regexp_extract_all(html, '(?is)<meta\\s[^>]*?(?:name|property)=\"([^\"]*)\"[^>]*?\\scontent=\"([^\"]*)\"[^>]*>', 1), regexp_extract_all(html, '(?is)<meta\\s[^>]*?content=\"([^\"]*)\"[^>]*?\\s(?:name|property)=\"([^\"]*)\"[^>]*>', 2)) AS k, "
+    "list_concat(regexp_extract_all(html, '(?is)<meta\\s[^>]*?(?:name|property)=\"([^\"]*)\"[^>]*?\\scontent=\"([^\"]*)\"[^>]*>', 2), regexp_extract_all(html, '(?is)<meta\\s[^>]*?content=\"([^\"]*)\"[^>]*?\\s(?:name|property)=\"([^\"]*)\"[^>]*>', 1)) AS v FROM pages)) "
+    "SELECT page_id, lower(x[2]) AS name, arg_min(x[3], x[1]) AS content FROM m GROUP BY 1, 2",
+)
+def n07_meta(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.explode(refine.html_meta("html")).alias("name", "content"))
+
+
 @query("n08_records", "SELECT event_id, CAST(event_id AS VARCHAR) AS record_id, 'tags' AS content_field, '[\"' || event_type || '\"]' AS content, CAST(user_id AS VARCHAR) AS meta_user FROM events")
 def n08(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), "user_id", F.array("event_type").alias("tags"))).alias("record"))
@@ -176,11 +184,16 @@ def n10(spark: SparkSession, d: str) -> DataFrame:
     return refine.json_blocks(table(spark, d, "events").where("props IS NOT NULL").select("event_id", F.concat(F.lit('["skipped",'), "props", F.lit("]")).alias("payload")))
 
 
-@query("n11_route", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'html' WHEN page_id % 4 = 1 THEN 'record' WHEN page_id % 4 = 2 THEN 'raw_json' ELSE 'markdown' END AS route FROM pages")
+@query(
+    "n11_route",
+    "SELECT page_id, part, CASE WHEN regexp_matches(x, '(?i)^<(!doctype|html)') THEN 'html' WHEN x[1] = '{' THEN 'record' WHEN x[1] = '[' THEN 'raw_json' ELSE 'markdown' END AS route "
+    f"FROM (SELECT page_id, part, {s_strip('x')} AS x FROM (SELECT page_id, 0 AS part, html AS x FROM pages UNION ALL SELECT page_id, 1, regexp_extract(html, '(?s)>([^<>]+)<', 1) FROM pages UNION ALL SELECT event_id, 2, props FROM events))",
+)
 def n11(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("page_id") % 4
-    text = F.when(k == 0, F.lit("<!DOCTYPE html><p>")).when(k == 1, '{"a": 1}').when(k == 2, "[1]").otherwise("words")
-    return table(spark, d, "pages").select("page_id", refine.normalizer_route(F.lit("file"), text).alias("route"))
+    p = table(spark, d, "pages")
+    parts = [p.select("page_id", F.lit(0).alias("part"), F.col("html").alias("x")), p.select("page_id", F.lit(1).alias("part"), F.regexp_extract("html", "(?s)>([^<>]+)<", 1).alias("x")), table(spark, d, "events").select(F.col("event_id").alias("page_id"), F.lit(2).alias("part"), F.col("props").alias("x"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select("page_id", "part", refine.normalizer_route(F.lit("file"), "x").alias("route"))
 
 
 # ---- chunkers
@@ -245,12 +258,15 @@ def c09(spark: SparkSession, d: str) -> DataFrame:
     return chunk.markdown_chunks(table(spark, d, "documents").select("doc_id", md.alias("content")))
 
 
-S_KIND = "CASE doc_id % 5 WHEN 0 THEN '|a|b|' WHEN 1 THEN '```x' WHEN 2 THEN '12. item' WHEN 3 THEN '![i](u)' ELSE 'plain - text' END"
+S_CUT = "(SELECT doc_id, CAST(s // 50 AS INTEGER) AS part_index, substr(text, s + 1, 50) AS x FROM (SELECT doc_id, text, unnest(range(0, length(text), 50)) AS s FROM documents))"
 
 
-@query("c10_classify", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'code_block' WHEN 2 THEN 'list_item' WHEN 3 THEN 'image' ELSE 'text' END AS kind FROM documents")
+@query(
+    "c10_classify",
+    f"SELECT doc_id, part_index, CASE WHEN x[1] = '|' THEN 'table' WHEN substr(x, 1, 3) = '```' THEN 'code_block' WHEN regexp_matches(x, '^([-*+]|\\d+\\.)\\s') THEN 'list_item' WHEN substr(x, 1, 2) = '![' THEN 'image' ELSE 'text' END AS kind FROM (SELECT doc_id, part_index, {s_strip('x')} AS x FROM {S_CUT})",
+)
 def c10(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tx.classify_chunk(F.expr(S_KIND)).alias("kind"))
+    return chunk.fixed_chunks(docs(spark, d), 50).select("doc_id", "part_index", tx.classify_chunk("content").alias("kind"))
 
 
 @query("c11_semantic_chunks")
@@ -409,9 +425,21 @@ def t26(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).withColumn("content", tx.visible_lines("content"))
 
 
-@query("l02_sniff", r"SELECT page_id, CASE WHEN regexp_matches(html, '(?i)^\s*(<!doctype html|<html)') THEN '.html' ELSE '?' END AS extension FROM pages")
+@query(
+    "l02_sniff",
+    r"SELECT kind, id, CASE WHEN regexp_matches(x, '(?is)^<!doctype html|^<html') THEN '.html' WHEN regexp_matches(x, '^<\?xml') THEN '.xml' WHEN regexp_matches(x, '(?s)^[\{\[].*[\}\]]$') THEN '.json' WHEN regexp_matches(x, '(?m)^#{1,6} |^```|^- \[') THEN '.md' "
+    r"WHEN regexp_matches(x, '(?m)^(def|class|import|from) \w+') THEN '.py' WHEN regexp_matches(x, '^[^\n,]*,[^\n]*\n[^\n,]*,') THEN '.csv' ELSE '.txt' END AS extension "
+    f"FROM (SELECT kind, id, {s_strip('x')} AS x FROM (SELECT 'page' AS kind, page_id AS id, html AS x FROM pages UNION ALL SELECT 'event', event_id, props FROM events UNION ALL SELECT 'text', doc_id, text FROM documents "
+    "UNION ALL SELECT 'note', doc_id, '# ' || source || chr(10) || text FROM documents UNION ALL SELECT 'row', doc_id, doc_id || ',' || source || chr(10) || lang || ',' || n_chars FROM documents UNION ALL SELECT 'code', doc_id, 'import ' || source || chr(10) || text FROM documents UNION ALL SELECT 'xml', doc_id, '<?xml version=\"1.0\"?>' || text FROM documents))",
+)
 def l02(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", tx.sniff_extension("html").alias("extension"))
+    n, t = F.lit("\n"), table(spark, d, "documents")
+    made = {"text": F.col("text"), "note": F.concat(F.lit("# "), "source", n, "text"), "row": F.concat("doc_id", F.lit(","), "source", n, "lang", F.lit(","), "n_chars"), "code": F.concat(F.lit("import "), "source", n, "text"), "xml": F.concat(F.lit('<?xml version="1.0"?>'), "text")}
+    out = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("x"))
+    out = out.unionByName(table(spark, d, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("props").alias("x")))
+    for kind, x in made.items():
+        out = out.unionByName(t.select(F.lit(kind).alias("kind"), F.col("doc_id").alias("id"), x.alias("x")))
+    return out.select("kind", "id", tx.sniff_extension("x").alias("extension"))
 
 
 @query("l14_output_name", r"SELECT page_id, regexp_replace(url, '[\\/:*?""<>|]', '_', 'g') AS name FROM pages")

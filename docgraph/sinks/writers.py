@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import mimetypes
+import pickle
+import re
 import sqlite3
 import time
 from collections.abc import Callable, Iterable
@@ -12,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docgraph.functions.text import MAGIC
+
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
@@ -90,17 +95,54 @@ def sqlite_upsert(df: DataFrame, path: str, table: str, keys: list[str] | None =
     foreach_batch(df, write)
 
 
-def neo4j_batches(nodes: DataFrame, run: Callable[[str, list[dict[str, Any]]], None]) -> None:
-    """UNWIND and MERGE per label: rows of one label are together, ``run`` takes (statement, rows)."""
+def _by_name(rows: list[dict[str, Any]], column: str) -> dict[str, list[dict[str, Any]]]:
+    by: dict[str, list[dict[str, Any]]] = {}
+    for r in rows:
+        by.setdefault(str(r[column]).replace("`", "_").replace(":", "_"), []).append(r)
+    return by
 
-    def write(rows: list[dict[str, Any]]) -> None:
-        by: dict[str, list[dict[str, Any]]] = {}
-        for r in rows:
-            by.setdefault(str(r["node_class"]).replace("`", "_").replace(":", "_"), []).append(r)
-        for label, some in by.items():
+
+def neo4j_batches(nodes: DataFrame, run: Callable[[str, list[dict[str, Any]]], None], edges: DataFrame | None = None) -> None:
+    """UNWIND and MERGE per label, then per type of relation; ``run`` takes (statement, rows).
+
+    Batches are spread by the row's own key and grouped within each, so that one label or type, however common, is
+    nobody's alone. Ends of relations that are no nodes yet are made.
+    """
+
+    def write_nodes(rows: list[dict[str, Any]]) -> None:
+        for label, some in _by_name(rows, "node_class").items():
             run(f"UNWIND $rows AS row MERGE (n:`{label}` {{id: row.node_id}}) SET n += row", some)
 
-    foreach_batch(nodes.repartition("node_class"), write)
+    def write_edges(rows: list[dict[str, Any]]) -> None:
+        for kind, some in _by_name(rows, "type").items():
+            run(f"UNWIND $rows AS row MERGE (a {{id: row.source}}) MERGE (b {{id: row.target}}) MERGE (a)-[r:`{kind}`]->(b) SET r += row", some)
+
+    foreach_batch(nodes.repartition("node_id"), write_nodes)
+    if edges is not None:
+        foreach_batch(edges.repartition("source", "target"), write_edges)
+
+
+def encoded(value: Any, extension: str | None = None, mime: str | None = None) -> tuple[bytes, str]:
+    """(bytes, extension) of a value as a file: bytes and texts as they are, lists and objects as JSON, else pickled.
+
+    The extension is the one given, else the MIME type's, else what the first bytes or the kind of value say.
+    """
+    if isinstance(value, (bytes, bytearray)):
+        data = bytes(value)
+        guess = next((e for m, e in MAGIC.items() if data[:8].hex().upper().startswith(m)), ".bin")
+    elif isinstance(value, str):
+        data, guess = value.encode(), ".html" if re.match(r"(?is)\s*<(!doctype html|html)", value) else ".txt"
+    else:
+        try:
+            data, guess = json.dumps(value, ensure_ascii=False).encode(), ".json"
+        except (TypeError, ValueError):
+            data, guess = pickle.dumps(value), ".pkl"
+    return data, extension or (mimetypes.guess_extension(mime.split(";")[0].strip()) if mime else None) or guess
+
+
+def console(df: DataFrame, rows: int = 20) -> None:
+    """Prints the first rows."""
+    df.show(rows, truncate=80)
 
 
 def sanitize(df: DataFrame) -> DataFrame:

@@ -166,11 +166,14 @@ def resolve(base: pd.Series, found: pd.Series) -> pd.Series:
 def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 1, link_pattern: str | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """(url, depth): breadth first over stored pages; each hop joins only the frontier, and known addresses are skipped.
 
+    The pages are read, and their links parsed, once.
+
     Fetching is ``pages``' matter: for a live crawl give what fetch() returned for the frontier, hop by hop.
     """
     links = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("a"), F.explode(resolve(F.col(url), hrefs(html))).alias("b")).distinct()
     if link_pattern:
         links = links.where(F.col("b").rlike(link_pattern))
+    links = cut(links)
     seen = cut(seeds.select("url").where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         front = seen.where(F.col("depth") == depth - 1).select(F.col("url").alias("a"))

@@ -115,7 +115,7 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def xlsx(content: bytes, skip_hidden: bool = True) -> list[dict[str, Any]]:
+def xlsx(content: bytes, skip_hidden: bool = False) -> list[dict[str, Any]]:
     """A page with a table per sheet; blank rows and, if asked, hidden sheets are left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         strings = xml(z, "xl/sharedStrings.xml")
@@ -202,10 +202,12 @@ def sniff(content: bytes) -> str | None:
 def parse_documents(files: DataFrame, path: str = "path", content: str = "content", extra: dict[str, Callable[[bytes], list[dict[str, Any]]]] | None = None) -> DataFrame:
     """(doc_id, format, pages, error) of binary files, for refine.document_markdown.
 
-    Formats without a parser here (PDF, HWP, images: they need libraries or OCR) take one from ``extra``; else, and for
-    a file that can't be read, the error says so and no other row suffers.
+    Formats without a parser here (HWP, images: they need libraries or OCR) take one from ``extra``; else, and for a file
+    that can't be read, the error says so and no other row suffers.
     """
-    parsers = PARSERS | (extra or {})
+    from docgraph.sources.pdf import pdf
+
+    parsers = PARSERS | {"pdf": pdf} | (extra or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

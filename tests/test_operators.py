@@ -1,9 +1,12 @@
 """Edge cases: nulls, empties, Unicode, the rules of code graphs, files of each format, sinks and streams."""
 
 import io
+import json
 import re
 import sqlite3
+import uuid
 import zipfile
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -12,10 +15,10 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import text as tx
 from docgraph.operators import analytics as an
-from docgraph.operators import chunk, graph, kernels, refine
+from docgraph.operators import chunk, graph, kernels, refine, retrieve
 from docgraph.plans.graph_queries import code_nodes
 from docgraph.sinks import writers
-from docgraph.sources import files, office, render
+from docgraph.sources import files, office, pdf, render, services
 
 
 def one(spark, column, value, kind="string"):
@@ -58,13 +61,12 @@ def test_recursive_split_keeps_every_character():
     assert "<<keep this whole>>" in kept
 
 
-def test_many_intervals_by_bins(spark, monkeypatch):
+def test_many_intervals_by_bins(spark):
     rng = np.random.default_rng(0)
     cuts = np.sort(rng.choice(1000, 40, replace=False)).tolist()
     iv = spark.createDataFrame([(f"t{k}", a, b) for k, (a, b) in enumerate(zip(cuts[::2], cuts[1::2], strict=True))], "title string, start_time int, end_time int")
     rec = spark.createDataFrame([(1, int(t), i, "x") for i, t in enumerate(rng.integers(0, 1100, 300))], "s int, t int, i int, w string")
     few = sorted(map(tuple, chunk.interval_chunks(rec, iv, ["s"], "t", ["t", "i"], "w").collect()), key=str)
-    monkeypatch.setattr(chunk, "BROADCAST_ROWS", 3)
     assert few == sorted(map(tuple, chunk.interval_chunks(rec, iv, ["s"], "t", ["t", "i"], "w", bins=7).collect()), key=str)
 
 
@@ -129,8 +131,6 @@ def test_nearest_batch_brute(spark):
     for q in range(10):
         order = np.argsort(np.linalg.norm(x - x[q], axis=1))[:4]
         assert [got[q, k] for k in range(1, 5)] == order.tolist()
-    with pytest.raises(ValueError):
-        an.nearest_batch(df, df, 1, most=5)
 
 
 def zipped(parts):
@@ -160,7 +160,7 @@ def test_office(spark):
     df = office.parse_documents(spark.createDataFrame(rows, "path string, content binary"))
     got = {r["doc_id"]: r for r in df.collect()}
     assert got["a.docx"]["pages"][0]["elements"][0]["heading_level"] == 2
-    assert got["b.xlsx"]["pages"][0]["elements"][1]["data"] == [["name", "", "3"], ["x"]] and len(got["b.xlsx"]["pages"]) == 1
+    assert got["b.xlsx"]["pages"][0]["elements"][1]["data"] == [["name", "", "3"], ["x"]] and len(got["b.xlsx"]["pages"]) == 2 and len(office.xlsx(XLSX, skip_hidden=True)) == 1
     assert [e["text"] for e in got["c.pptx"]["pages"][0]["elements"]] == ["high", "low"]
     assert [e["text"] for e in got["d.hwpx"]["pages"][0]["elements"]] == ["H", "a\nb"]
     assert all(got[n]["error"] and got[n]["pages"] is None for n in ("e.pdf", "f.docx", "g.docx"))
@@ -274,3 +274,196 @@ def test_core(spark, monkeypatch):
     df, o = core.observed(spark.range(10), "o", n=F.count("*"))
     df.collect()
     assert o.get["n"] == 10
+
+
+def test_repeated_ids_keep_their_own_chunks(spark):
+    df = spark.createDataFrame([(1, "a" * 1500), (1, "b" * 700)], "doc_id long, content string")
+    audited = {(r["content"][0], r["part_index"], r["original_length"]) for r in chunk.audited_chunks(df).collect()}
+    assert audited == {("a", 0, 1500), ("a", 1, 1500), ("b", 0, 700)}
+    for fixed in (False, True):
+        rows = chunk.parent_child_chunks(df, 2000, 400, fixed=fixed).collect()
+        parents = sorted((r["content"][0], len(r["child_ids"])) for r in rows if r["is_parent"])
+        assert parents == [("a", 4), ("b", 2)] and sum(not r["is_parent"] for r in rows) == 6
+
+
+def test_helper_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "long enough", 7), (2, "long enough", 8), (3, None, 9), (4, None, 9), (5, "ab", 9), (6, "ab", 9)], "id long, content string, __n long")
+    out = refine.dedup_blocks(df, "content", ["id"])
+    assert out.columns == df.columns and {(r["id"], r["__n"]) for r in out.collect()} == {(1, 7), (3, 9), (4, 9), (5, 9), (6, 9)}
+    up = an.upsert(df.select("id", "__n"), df.select("id", (F.col("__n") + 1).alias("__n"), F.lit(1).alias("at")).where("id < 3"), ["id"], "at")
+    assert {r["id"]: r["__n"] for r in up.collect()} == {1: 8, 2: 9, 3: 9, 4: 9, 5: 9, 6: 9}
+
+
+def test_intervals_without_chapters_and_on_their_edges(spark):
+    rec = spark.createDataFrame([(1, 0.0, "a"), (1, 5.0, "b"), (1, 10.0, "c")], "v long, t double, text string")
+    none = spark.createDataFrame([], "title string, start_time double, end_time double")
+    assert [(r["title"], r["content"]) for r in chunk.interval_chunks(rec, none, ["v"], "t", ["t"], "text").collect()] == [(None, "a b c")]
+    some = spark.createDataFrame([("x", 0.0, 5.0), ("y", 5.0, 10.0)], "title string, start_time double, end_time double")
+    got = {r["title"]: r["content"] for r in chunk.interval_chunks(rec, some, ["v"], "t", ["t"], "text").collect()}
+    assert got == {"x": "a", "y": "b c"}
+
+
+def test_nearest_batch_in_blocks(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((60, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    q = df.where("vec_id % 7 = 0")
+    got = {}
+    for r in an.nearest_batch(df, q, 3, block=4, itself=False).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(axis=2))
+    for i in range(0, 60, 7):
+        order = sorted((round(float(d[i, j]), 6), j) for j in range(60) if j != i)[:3]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in order]
+
+
+def test_topics_count_every_word(spark):
+    df = spark.createDataFrame([(i, f"common once{i}") for i in range(6)] + [(9, "unseen"), (10, "...")], "doc_id long, content string")
+    out = chunk.topic_chunks(df, topics=2)
+    assert {r["doc_id"] for r in out.collect()} == {0, 1, 2, 3, 4, 5, 9}
+
+
+def test_clusters_part_far_vectors(spark):
+    df = spark.createDataFrame([(i, [float(i % 2) * 10, float(i) / 100]) for i in range(20)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["cluster"] for r in chunk.cluster_sentences(df).collect()}
+    assert len({got[i] for i in range(0, 20, 2)}) == len({got[i] for i in range(1, 20, 2)}) == 1 and got[0] != got[1]
+
+
+def pdf_file(*objects, trailer=b"<< /Root 1 0 R >>"):
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in objects) + b"trailer " + trailer + b"\n%%EOF"
+
+
+def pdf_stream(data, more=b""):
+    packed = zlib.compress(data)
+    return b"<< /Length %d /Filter /FlateDecode %s >>\nstream\n%s\nendstream" % (len(packed), more, packed)
+
+
+PDF = pdf_file(
+    (1, b"<< /Type /Catalog /Pages 2 0 R /Outlines 9 0 R >>"),
+    (2, b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Resources << /Font << /F1 7 0 R /F2 8 0 R >> >> >>"),
+    (3, b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>"),
+    (4, b"<< /Type /Page /Parent 2 0 R /Contents [6 0 R] >>"),
+    (5, pdf_stream(b"BT /F1 24 Tf 72 700 Td (Big \\(Title\\)) Tj ET BT /F1 10 Tf 72 650 Td (First line) Tj 0 -12 Td [(sec) -20 (ond) -400 (line)] TJ ET % note\nBT /F1 10 Tf 72 500 Td (Far b\\351low) Tj ET")),
+    (6, pdf_stream(b"BT /F2 10 Tf 1 0 0 1 50 50 Tm <00010002> Tj <0003> Tj ET BI /W 1 ID xx EI")),
+    (7, b"<< /Type /Font /Subtype /Type1 >>"),
+    (8, b"<< /Type /Font /Subtype /Type0 /ToUnicode 10 0 R >>"),
+    (9, b"<< /First 11 0 R >>"),
+    (10, pdf_stream(b"1 beginbfchar <0001> <D55C> endbfchar 1 beginbfrange <0002> <0003> <0061> endbfrange")),
+    (11, b"<< /Title (Chapter) >>"),
+)
+
+
+def test_pdf(spark):
+    got = {r["doc_id"]: r for r in office.parse_documents(spark.createDataFrame([("a.pdf", PDF), ("b.pdf", b"%PDF-1.7 nothing"), ("c.pdf", pdf_file((1, b"<< >>"), trailer=b"<< /Encrypt 3 0 R >>"))], "path string, content binary")).collect()}
+    first, second = got["a.pdf"]["pages"]
+    assert [(e["semantic_type"], e["heading_level"], e["text"]) for e in first["elements"]] == [("heading", 1, "Big (Title)"), ("paragraph", None, "First line\nsecond line"), ("paragraph", None, "Far b\u00e9low")]
+    assert [e["text"] for e in first["header_elements"]] == ["Chapter"] and [e["text"] for e in second["elements"]] == ["\ud55cab"]
+    assert "no pages" in got["b.pdf"]["error"] and "encrypted" in got["c.pdf"]["error"]
+    packed = b"1 0 2 33 3 95 " + b"<< /Type /Catalog /Pages 2 0 R >>" + b"<< /Kids [3 0 R] /Resources << /Font << /F1 << >> >> >> >>   " + b" << /Type /Page /Contents 5 0 R >>"
+    body = [(4, pdf_stream(packed, b"/Type /ObjStm /N 3 /First 14")), (5, pdf_stream(b"BT /F1 9 Tf (in a stream) ' ET"))]
+    assert pdf.pdf(pdf_file(*body))[0]["elements"][0]["text"] == "in a stream"
+    chunks = chunk.page_chunks(office.parse_documents(spark.createDataFrame([("a.pdf", PDF)], "path string, content binary"))).collect()
+    assert [(r["part_index"], r["content"].split("\n")[0]) for r in sorted(chunks, key=lambda r: r["part_index"])] == [(0, "# Chapter"), (1, "\ud55cab")]
+
+
+def fake_client():
+    """Answers by address and page, as the services give them."""
+    feed = "<rss><channel>" + "".join(f"<item><title>T{i}</title><link>l{i}</link><description>short</description></item>" for i in range(15)) + "<item><title>x</title><encoded>&lt;p&gt;full&lt;/p&gt;</encoded></item></channel></rss>"
+
+    def call(address, p):
+        if address == "feed":
+            return feed
+        if "/contents/" in address:
+            tree = {"": [{"type": "dir", "path": "d"}, {"type": "file", "path": "a.py", "download_url": "raw:a"}], "d": [{"type": "file", "path": "d/b.py", "download_url": "raw:b"}, {"type": "file", "path": "d/c.md", "download_url": "raw:c"}]}
+            return tree[address.split("/contents/")[1]]
+        if address.startswith("raw:"):
+            return "code " + address
+        if address.endswith("/issues"):
+            return [{"html_url": f"i{p['page']}{k}", "title": "t", "body": None, "number": k} | ({"pull_request": {}} if k == 0 else {}) for k in range(3)] if p["page"] < 20 else []
+        if address == "films":
+            return [{"_id": i, "v": i} for i in range(7) if i >= p["filter"].get("least", 0)][: p["limit"]]
+        if "conversations.history" in address:
+            return {"messages": [{"ts": "1", "text": "hi", "user": "u", "reply_count": 1}], "response_metadata": {"next_cursor": "" if p.get("cursor") else "c"}}
+        if "conversations.replies" in address:
+            return {"messages": [{"ts": "1", "text": "hi", "user": "u"}, {"ts": "2", "text": "yo", "user": "v"}]}
+        if "discord" in address:
+            at = int(p.get("before", 50))
+            return [{"id": str(i), "content": f"m{i}"} for i in range(at - 1, max(-1, at - 11), -1)]
+        if "/search" in address and "jql" in p:
+            return {"issues": [{"key": f"K-{i}", "fields": {"summary": "s"}} for i in range(p["startAt"], min(30, p["startAt"] + 8))]}
+        if address.endswith("/children"):
+            block = {"type": "paragraph", "id": "k", "has_children": address.split("/")[-2] == "p", "paragraph": {"rich_text": [{"plain_text": address.split("/")[-2]}]}}
+            return {"results": [block], "next_cursor": None}
+        if "wikipedia" in address:
+            return {"query": {"pages": {"1": {"title": "A b", "extract": "Text"}}}}
+        if address == "search":
+            return list(range(1, 31))
+        if address == "fetch":
+            return b"Subject: =?utf-8?b?w6k=?=\r\nFrom: a@b\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>body %d</p>" % p["id"]
+        raise RuntimeError("no such address")
+
+    return call
+
+
+def test_services(spark):
+    def run(service, limit=None, **task):
+        return services.read(spark.createDataFrame([(json.dumps(task),)], "task string"), service, fake_client, limit).collect()
+
+    feed = run("rss", url="feed")
+    assert len(feed) == 10 and feed[0]["content"] == "# T0\n\nshort" and run("rss", 0, url="feed")[-1]["content"] == "# x\n\nfull"
+    assert [r["source"] for r in run("github_code", repo="a/b", extensions=[".py"])] == ["a.py", "d/b.py"]
+    issues = run("github_issues", repo="a/b")
+    assert len(issues) == 20 and issues[0]["source"] == "i11"
+    assert len(run("mongodb", collection="films", query={"least": 3})) == 4
+    threads = run("slack", channel="C")
+    assert [r["content"] for r in threads] == ["hi\n- **v**: yo"] * 2
+    assert len(run("discord", channel="1")) == 20 and len(run("discord", 0, channel="1")) == 50
+    assert len(run("jira", 0, base="http://j", project="K")) == 30
+    assert run("notion", page="p")[0]["content"] == "p\n  k"
+    assert run("wikipedia", title="A b")[0]["source"] == "https://ko.wikipedia.org/wiki/A_b"
+    mails = run("mail")
+    assert len(mails) == 10 and mails[0]["content"] == "body 30" and mails[0]["meta"]["subject"] == "\u00e9"
+    bad = run("web_page", url="nowhere")
+    assert [r["success"] for r in bad] == [False] and "no such address" in bad[0]["error"]
+    assert [r["success"] for r in services.read(spark.createDataFrame([(None,)], "task string"), "rss", fake_client).collect()] == [False]
+
+
+def test_readable():
+    html = "<html><head><title>x</title></head><body><nav><p>menu</p></nav><article><h2>Top &amp; more</h2><p>A <b>b</b></p><ul><li><a href='x'>only a link</a></li><li>point</li></ul></article><footer><p>foot</p></footer></body></html>"
+    assert services.readable(html) == "## Top & more\n\nA b\n\n- point"
+    assert services.readable(None) == "" and services.readable("plain") == "plain"
+
+
+def test_retrieval(spark):
+    df = spark.createDataFrame([("/data/a.txt", "A"), ("/data/sub/b.txt", "B"), ("/etc/passwd", "no")], "path string, content string")
+    assert [r["content"] for r in retrieve.by_file(df, "/data", "sub/../sub/b.txt").collect()] == ["B"]
+    for name in ("../etc/passwd", "/etc/passwd"):
+        with pytest.raises(ValueError):
+            retrieve.by_file(df, "/data", name)
+    ask = retrieve.Dispatcher(file=lambda name: retrieve.by_file(df, "/data", name), key=lambda value: retrieve.by_key(df, "content", value))
+    assert ask("key", value="A").count() == 1 and ask("key", value=None).count() == 0 and ask("file", name="a.txt").count() == 1
+    with pytest.raises(retrieve.UnknownRequest):
+        ask("other")
+    with pytest.raises(ValueError):
+        ask("key", wrong=1)
+
+
+def test_encoded_files(spark, capsys):
+    assert writers.encoded(b"%PDF-1") == (b"%PDF-1", ".pdf") and writers.encoded("x")[1] == ".txt" and writers.encoded(" <html>")[1] == ".html"
+    assert writers.encoded({"a": [1]}) == (b'{"a": [1]}', ".json") and writers.encoded({1, 2})[1] == ".pkl"
+    assert writers.encoded("x", mime="text/csv; charset=utf-8")[1] == ".csv" and writers.encoded("x", ".md", "text/csv")[1] == ".md"
+    writers.console(spark.range(2))
+    assert "id" in capsys.readouterr().out
+
+
+def test_neo4j_nodes_and_relations(spark, tmp_path):
+    def run(statement, rows):
+        with open(tmp_path / f"{uuid.uuid4().hex}.json", "w") as f:
+            json.dump([statement, rows], f)
+
+    nodes = spark.createDataFrame([("a", "Te:xt"), ("b", "Topic")], "node_id string, node_class string")
+    edges = spark.createDataFrame([("a", "b", "hasParent"), ("b", "a", "has`Child")], "source string, target string, type string")
+    writers.neo4j_batches(nodes, run, edges)
+    said = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    assert {re.search(r"\(n:`(.*?)`|r:`(.*?)`", s)[0] for s, _ in said} == {"(n:`Te_xt`", "(n:`Topic`", "r:`hasParent`", "r:`has_Child`"}
+    assert sum(len(rows) for _, rows in said) == 4
