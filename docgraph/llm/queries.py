@@ -20,6 +20,11 @@ def op5_rabitq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def rabitq_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 where there is something to find: near copies of a tenth of the vectors are added."""
+    return rabitq.near_duplicates(rabitq.perturbed(table(spark, sf_dir, "embeddings")))
+
+
 def op6_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -67,12 +72,14 @@ QUERIES: dict[str, Query] = {
         op8_latent_decontamination,
         op9_warc_merkle_fixity,
         op10_bilstm_crf_pii,
+        rabitq_near_copies,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_suffix_radix_dedup": repeats.oracle(),
     "op4_recompression_dedup": repeats.oracle(),
     "op5_rabitq_embeddings": rabitq.oracle(),
+    "rabitq_near_copies": rabitq.oracle(rabitq.PERTURBED),
     "op6_sainte_lague_mixing": mixing.oracle(),
     "op9_warc_merkle_fixity": warc.oracle(),
 }

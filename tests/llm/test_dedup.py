@@ -168,8 +168,35 @@ def test_rabitq_estimate_is_unbiased_and_bounded():
     assert abs(np.mean(errors)) < 0.01
 
 
+def test_rabitq_bounds_hold():
+    """What the bytes' bounds decide is right, and what the codes' bounds leave out is almost never a pair."""
+    x = vectors(64).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coded = rabitq.unpack(rabitq.pack(*rabitq.encode(x, rabitq.rotation(64))), 64)
+    true = x @ x.T
+    item, root, a, b = rabitq.shard_links(coded, np.arange(len(x)), 0.95)
+    want = brute_groups(range(len(x)), [(i, j) for i in range(len(x)) for j in range(i) if true[i, j] >= 0.95])
+    sure = [(int(i), int(r)) for i, r in zip(item, root, strict=True)]
+    assert all(want.get(i, i) == want.get(r, r) for i, r in sure)
+    got = brute_groups(range(len(x)), sure + [(int(i), int(j)) for i, j in zip(a, b, strict=True) if true[i, j] >= 0.95])
+    assert sum(got.get(k) == v for k, v in want.items()) >= 0.98 * len(want) and len(a) < 40
+
+
+def test_rabitq_hot_shard_is_linear(monkeypatch):
+    """A shard full of near copies is linked without its pairs being listed, and a stranger's link is not lost."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(64)
+    x = np.concatenate([base + 0.02 * rng.standard_normal((3000, 64)), rng.standard_normal((5, 64))])
+    x[-1] = x[-2] + 0.01 * rng.standard_normal(64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coded = rabitq.unpack(rabitq.pack(*rabitq.encode(x, rabitq.rotation(64))), 64)
+    monkeypatch.setattr(rabitq, "BLOCK", 256)
+    item, root, a, _ = rabitq.shard_links(coded, np.arange(len(x)), 0.95)
+    assert len(item) == 3000 and not len(a) and set(root[:-1].tolist()) == {0} and (item[-1], root[-1]) == (3004, 3003)
+
+
 def test_rabitq_odd(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, [1.0, 2.0, 3.0]), (9, [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(*r, 1, "h", 2, [0.5], "c") for r in rows], "vec_id long, embedding array<float>, id long, h string, head long, v array<double>, code string")
     assert {tuple(r) for r in rabitq.near_duplicates(df).collect()} == {(2, 1)}
     assert rabitq.near_duplicates(df.limit(0)).count() == 0
