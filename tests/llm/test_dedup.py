@@ -33,8 +33,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("broadcast", [0, 1 << 30])
-def test_simhash_brute(spark, broadcast):
+def test_simhash_brute(spark):
     import pyarrow as pa
 
     rows = corpus()
@@ -43,7 +42,7 @@ def test_simhash_brute(spark, broadcast):
     ids = [i for i, _, _ in rows]
     want = {(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if d[i, j] <= simhash.RADIUS}
     heads = spark.createDataFrame([(i, *map(int, m.view(np.int64))) for i, m in zip(ids, marks, strict=True)], "id long, h1 long, h2 long").dropDuplicates(["h1", "h2"])
-    edges = [tuple(r) for r in simhash.near_pairs(heads, broadcast_bytes=broadcast).collect()]
+    edges = [tuple(r) for r in simhash.near_pairs(heads).collect()]
     assert all((a, b) in want or (b, a) in want or brute_groups(ids, want).get(max(a, b), max(a, b)) == brute_groups(ids, want).get(min(a, b), min(a, b)) for a, b in edges)
     got = {r["doc_id"]: r["keep_id"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
     full = brute_groups(ids, want)
@@ -52,8 +51,7 @@ def test_simhash_brute(spark, broadcast):
     assert got[300] == 0 and got[301] == 0
 
 
-@pytest.mark.parametrize("broadcast", [0, 1 << 30])
-def test_simhash_recall_near_radius(spark, broadcast):
+def test_simhash_recall_near_radius(spark):
     """Isolated pairs at 22 bits and more, up to the radius itself: at least nine tenths of each distance are linked."""
     rng = np.random.default_rng(21)
     n, steps = 2000, (22, 26, simhash.RADIUS)
@@ -63,13 +61,49 @@ def test_simhash_recall_near_radius(spark, broadcast):
         other[i, rng.choice(simhash.BITS, steps[i % 3], replace=False)] ^= 1
     marks = np.packbits(np.concatenate([base, other]), axis=1).view(np.int64)
     heads = spark.createDataFrame([(i, *m) for i, m in enumerate(marks.tolist())], "id long, h1 long, h2 long")
-    found = {tuple(sorted(r)) for r in simhash.near_pairs(heads, broadcast_bytes=broadcast).collect()}
+    found = {tuple(sorted(r)) for r in simhash.near_pairs(heads).collect()}
     assert all(b == a + n for a, b in found)
     for k in range(3):
         pairs = {(i, i + n) for i in range(k, n, 3)}
         assert len(found & pairs) >= 0.9 * len(pairs), steps[k]
 
 
+def test_simhash_recall_does_not_depend_on_size():
+    """The same pairs at 24 bits among ten times as many strangers: sampling keeps the chance to meet."""
+    rng = np.random.default_rng(2)
+    for strangers in (2_000, 20_000, 200_000):
+        base = rng.integers(0, 2, (300, simhash.BITS)).astype(np.uint8)
+        other = base.copy()
+        for i in range(len(base)):
+            other[i, rng.choice(simhash.BITS, simhash.RADIUS, replace=False)] ^= 1
+        marks = np.packbits(np.concatenate([base, other]), axis=1).view(np.uint64)
+        met = np.zeros(300, bool)
+        for t, places in enumerate(simhash.sampling(strangers)):
+            key = simhash.shard_keys(marks, places, t)
+            met |= key[:300] == key[300:]
+        assert met.mean() > 0.87, strangers
+
+
+def test_bk_tree_of_many_near_copies():
+    """linked() gives the components of pairs(), also where large families, strangers and later bridges mix."""
+    rng = np.random.default_rng(7)
+    bits = []
+    for k in range(4):
+        base = rng.integers(0, 2, simhash.BITS).astype(np.uint8)
+        for _ in range(1200 if k < 2 else 60):
+            x = base.copy()
+            x[rng.choice(simhash.BITS, int(rng.integers(1, 14)), replace=False)] ^= 1
+            bits.append(x)
+    bits += list(rng.integers(0, 2, (300, simhash.BITS)).astype(np.uint8))
+    marks = np.packbits(np.array(bits)[rng.permutation(len(bits))], axis=1).view(np.uint64)
+    tree = simhash.Trees(marks, np.zeros(len(marks), np.uint64))
+    for radius in (10, 20, simhash.RADIUS):
+        item, root = simhash.forest(len(marks), tree.pairs(radius))
+        want = np.arange(len(marks))
+        want[item] = root
+        assert (tree.linked(radius) == want).all()
+
+
 def test_bk_tree_finds_all_within_radius():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, (30, 2)).astype(np.uint64)
