@@ -161,6 +161,32 @@ def test_repeats_brute(spark, find):
     assert any(r[0] == 30 for r in got)
 
 
+@pytest.mark.parametrize("find", [suffix.repeated_passages, recompress.repeated_substrings])
+@pytest.mark.parametrize("hot", [0, 3])
+def test_repeats_of_hot_anchors(spark, monkeypatch, find, hot):
+    """The same result where all anchors, or those of more than three rows, go by their windows' digits."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rows = [*passages(), (40, None, "s"), (None, prose(1002, 80), "s"), (30, "same " * 70, "s")]
+    assert {tuple(r) for r in find(frame(spark, rows)).collect()} == brute_spans(rows)
+
+
+@pytest.mark.parametrize("hot", [0, 2, 5])
+def test_repeated_hashes(spark, hot):
+    rng = np.random.default_rng(hot)
+    rows = [(int(h), i) for i, h in enumerate(rng.integers(0, 40, 90))] + [(77, i) for i in range(30_000)]
+    got = {(r["h"], r["id"], r["hot"]) for r in repeats.repeated_hashes(spark.createDataFrame(rows, "h long, id long"), hot).collect()}
+    n = {h: sum(x == h for x, _ in rows) for h in {x for x, _ in rows[:200]}}
+    assert got == {(h, i, n[h] > hot) for h, i in rows if n[h] > 1}
+
+
+@pytest.mark.parametrize("find", [suffix.repeated_passages, recompress.repeated_substrings])
+def test_repeats_odd_that_repeat(spark, find):
+    """Repeated ids, clashing columns and a very long text, where there is something to find."""
+    long = prose(3, 60_000)
+    rows = [(1, long, None), (1, "x " + long[:2000], "a"), (None, long, "a"), (2, None, "a"), (3, "", "a")]
+    assert {tuple(r) for r in find(frame(spark, rows)).collect()} == brute_spans(rows) != set()
+
+
 @pytest.mark.parametrize("find", [suffix.repeated_passages, recompress.repeated_substrings])
 def test_repeats_odd(spark, odd, none, find):
     assert find(odd).count() == 0
