@@ -45,35 +45,101 @@ def w02(spark: SparkSession, d: str) -> DataFrame:
     return graph.video_nodes(videos(spark, d))
 
 
-PACKAGE = {
-    "src/app/__init__.py": "from .core import run\n__all__ = ['run', 'Base']\n",
-    "src/app/base.py": "import abc\nLIMIT = 3\n\n\nclass Base:\n    @abc.abstractmethod\n    def go(self, n: int) -> int:\n        raise NotImplementedError\n\n    @property\n    def size(self):\n        return LIMIT\n\n\ndef helper(x):\n    return x\n",
-    "src/app/core.py": "from app.base import Base, helper\nfrom . import base\n\nCOUNT = 0\n\n\nclass Job(Base):\n    def go(self, n):\n        self.step()\n        return helper(n)\n\n    def step(self):\n        global COUNT\n        COUNT += 1\n\n\nasync def later(job: Job):\n    job.step()\n    yield job.size\n\n\ndef run():\n    later(Job())\n",
-    "src/app/broken.py": "def half(:\n    pass\n",
-    "web/main.js": "import x from './x';\n\nfunction start(a) {\n  return a;\n}\n\nclass View {\n}\n",
-}
+#: A module for document i, which imports that of document j = i + 1; the tables hold no sources.
+MODULE = """import abc
+from p{q}.m{j} import Base{j}, helper{j}
 
+LIMIT{i} = {n}
+__all__ = ['Base{i}', 'run{i}']
 
-def code_nodes(spark: SparkSession) -> DataFrame:
-    """Nodes of a small package of sources written for the purpose: the tables hold none."""
-    f = spark.createDataFrame(list(PACKAGE.items()), "source string, content string")
-    return graph.code_nodes(chunk.code_chunks(f))
 
+class Base{i}(Base{j}):
+    @abc.abstractmethod
+    def go(self, n: int) -> int:
+        raise ValueError(n)
 
-@query("c17_code_chunks")
+    def step{i}(self):
+        global LIMIT{i}
+        LIMIT{i} += 1
+        return helper{i}(self)
+
+
+async def later{i}(job: Base{j}):
+    job.step{j}()
+    return await run{j}(job)
+
+
+def helper{i}(x):
+    return x
+
+
+def run{i}():
+    later{i}(Base{i}())
+    return helper{j}(1)
+"""
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """(source, content): a module for every document."""
+    i, j = F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")
+    text = F.lit(MODULE)
+    for mark, value in (("i", i), ("j", j), ("q", F.pmod(F.col("doc_id") + 1, F.lit(7)).cast("string")), ("n", F.coalesce(F.col("n_chars").cast("string"), F.lit("0")))):
+        text = F.replace(text, F.lit("{" + mark + "}"), value)
+    return table(spark, d, "documents").select(F.concat(F.lit("src/p"), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit("/m"), i, F.lit(".py")).alias("source"), text.alias("content"))
+
+
+def code_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.code_nodes(chunk.code_chunks(sources(spark, d)))
+
+
+S_FILES = "f AS (SELECT doc_id AS i, 'src/p' || (doc_id % 7) || '/m' || doc_id || '.py' AS path, 'code:src/p' || (doc_id % 7) || '/m' || doc_id || '.py' AS u FROM documents), g AS (SELECT a.i, a.u, b.i AS j, b.u AS w FROM f a JOIN f b ON b.i = a.i + 1)"
+
+
+@query(
+    "c17_code_chunks",
+    f"WITH {S_FILES}, c(chunk_index, semantic_type, named, class_named, line_start, line_end) AS (VALUES (0, 'code_block', NULL, NULL, 1, 5), (1, 'class', 'Base', NULL, 8, 9), (2, 'method', 'go', 'Base', 9, 11), (3, 'method', 'step', 'Base', 13, 16), (4, 'function', 'later', NULL, 19, 21), (5, 'function', 'helper', NULL, 24, 25), (6, 'function', 'run', NULL, 28, 30)) "
+    "SELECT path AS source, 'python' AS language, chunk_index, semantic_type, CASE WHEN named = 'go' THEN named ELSE named || i END AS symbol_name, class_named || i AS class_name, line_end FROM f, c",
+)
 def c17(spark: SparkSession, d: str) -> DataFrame:
-    f = spark.createDataFrame(list(PACKAGE.items()), "source string, content string")
-    return chunk.code_chunks(f).select("source", "language", "chunk_index", "semantic_type", "symbol_name", "class_name", "line_start", "line_end", "content")
+    return chunk.code_chunks(sources(spark, d)).select("source", "language", "chunk_index", "semantic_type", "symbol_name", "class_name", "line_end")
 
 
-@query("w03_code_nodes")
+S_UNITS = "['#CodeBlock_0', '#Base' || i, '#Base' || i || '.go', '#Base' || i || '.step' || i, '#later' || i, '#helper' || i, '#run' || i]"
+
+
+@query(
+    "w03_code_nodes",
+    f"WITH {S_FILES} SELECT u AS node_id, 'File' AS node_class, NULL AS parent_node, path AS file_path FROM f UNION ALL SELECT u || x, CASE WHEN x = '#CodeBlock_0' THEN 'CodeBlock' WHEN contains(x, '.') THEN 'Method' WHEN x = '#Base' || i THEN 'Class' ELSE 'Function' END, "
+    f"CASE WHEN contains(x, '.') THEN u || '#Base' || i ELSE u END, path FROM (SELECT *, unnest({S_UNITS}) AS x FROM f)",
+)
 def w03(spark: SparkSession, d: str) -> DataFrame:
-    return code_nodes(spark).select("node_id", "node_class", "parent_node", "file_path")
+    return code_nodes(spark, d).select("node_id", "node_class", "parent_node", "file_path")
+
+
+def code_edges(name: str, rule: str, own: list[tuple[str, str]], other: list[tuple[str, str]]) -> None:
+    """A query of one rule's edges over the modules of all documents; in SQL from its own units, and to the module it imports."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return getattr(graph.CodeGraph(code_nodes(spark, d)), rule)().select("source", "target", "type")
+
+    def unit(prefix: str, number: str, pattern: str) -> str:
+        return f"'{pattern}'" if ":" in pattern else f"{prefix} || '" + pattern.replace("{}", f"' || {number} || '") + "'"
+
+    parts = [f"SELECT {unit('u', 'i', a)} AS source, {unit('u', 'i', b)} AS target, '{rule.upper()}' AS type FROM f" for a, b in own]
+    parts += [f"SELECT {unit('u', 'i', a)} AS source, {unit('w', 'j', b)} AS target, '{rule.upper()}' AS type FROM g" for a, b in other]
+    query(name, f"WITH {S_FILES} " + " UNION ALL ".join(parts))(run)
 
 
-@query("g08_code_edges")
-def g08(spark: SparkSession, d: str) -> DataFrame:
-    return graph.CodeGraph(code_nodes(spark)).edges().select(*graph.EDGE)
+code_edges("g07_contains", "contains", [("", x) for x in ("#CodeBlock_0", "#Base{}", "#Base{}.go", "#Base{}.step{}", "#later{}", "#helper{}", "#run{}")], [])
+code_edges("g08_imports", "imports", [], [("#CodeBlock_0", "#Base{}"), ("#CodeBlock_0", "#helper{}")])
+code_edges("g09_calls", "calls", [("#Base{}.step{}", "#helper{}"), ("#run{}", "#later{}"), ("#run{}", "#Base{}")], [("#later{}", "#run{}"), ("#run{}", "#helper{}")])
+code_edges("g10_maybe_calls", "maybe_calls", [], [("#later{}", "#Base{}.step{}")])
+code_edges("g11_inherits", "inherits", [], [("#Base{}", "#Base{}")])
+code_edges("g12_overrides", "overrides", [], [("#Base{}.go", "#Base{}.go")])
+code_edges("g13_uses_type", "uses_type", [], [("#later{}", "#Base{}")])
+code_edges("g14_mutates_global", "mutates_global", [("#Base{}.step{}", "#CodeBlock_0")], [])
+code_edges("g15_raises", "raises", [("#Base{}.go", "exception:ValueError")], [])
+code_edges("g16_exposes", "exposes", [("", "#Base{}"), ("", "#run{}")], [])
 
 
 @query("w04_vectors")

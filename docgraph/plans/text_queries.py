@@ -93,7 +93,7 @@ def p08(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", kept.alias("fields"))
 
 
-@query("p08_prune_json")
+@query("p08_prune_json", "SELECT event_id, '{\"event_id\":' || event_id || CASE WHEN event_type IS NULL OR upper(trim(event_type)) IN ('', 'NULL', 'NONE', 'NAN') THEN '}' ELSE ',\"y\":[\"' || event_type || '\"]}' END AS payload FROM events")
 def p08_json(spark: SparkSession, d: str) -> DataFrame:
     whole = F.to_json(F.struct("event_id", F.struct(F.lit("").alias("a"), F.lit("none").alias("b")).alias("x"), F.array(F.lit("NULL"), "event_type").alias("y")))
     return table(spark, d, "events").select("event_id", refine.prune_json(whole).alias("payload"))

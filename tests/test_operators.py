@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from docgraph.functions import text as tx
 from docgraph.operators import analytics as an
 from docgraph.operators import chunk, graph, kernels, refine, retrieve
-from docgraph.plans.graph_queries import code_nodes
 from docgraph.sinks import writers
 from docgraph.sources import files, office, pdf, render, services
 
@@ -93,8 +92,19 @@ def test_json_chunks():
     assert kernels.load_json("not json {") is None
 
 
+PACKAGE = {
+    "src/app/__init__.py": "from .core import run\n__all__ = ['run', 'Base']\n",
+    "src/app/base.py": "import abc\nLIMIT = 3\n\n\nclass Base:\n    @abc.abstractmethod\n    def go(self, n: int) -> int:\n        raise NotImplementedError\n\n    @property\n    def size(self):\n        return LIMIT\n\n\ndef helper(x):\n    return x\n",
+    "src/app/core.py": "from app.base import Base, helper\nfrom . import base\n\nCOUNT = 0\n\n\nclass Job(Base):\n    def go(self, n):\n        self.step()\n        return helper(n)\n\n    def step(self):\n        global COUNT\n        COUNT += 1\n\n\nasync def later(job: Job):\n    job.step()\n    yield job.size\n\n\ndef run():\n    later(Job())\n",
+    "src/app/broken.py": "def half(:\n    pass\n",
+    "web/main.js": "import x from './x';\n\nfunction start(a) {\n  return a;\n}\n\nclass View {\n}\n",
+}
+
+
 def test_code_edges(spark):
-    got = {(r["source"].split("src_app_")[-1].split("src/app/")[-1], r["target"].split("src/app/")[-1], r["type"]) for r in graph.CodeGraph(code_nodes(spark)).edges().collect()}
+    files_ = spark.createDataFrame(list(PACKAGE.items()), "source string, content string")
+    nodes = graph.code_nodes(chunk.code_chunks(files_))
+    got = {(r["source"].split("src_app_")[-1].split("src/app/")[-1], r["target"].split("src/app/")[-1], r["type"]) for r in graph.CodeGraph(nodes).edges().collect()}
     want = {
         ("core.py#Job", "base.py#Base", "INHERITS"),
         ("core.py#Job.go", "base.py#Base.go", "OVERRIDES"),
