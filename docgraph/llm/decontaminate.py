@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.llm import tokens as tk
-from docgraph.llm.common import cut
+from docgraph.llm.common import cut, map_rows
 
 TERMS, RANK, STEP, MAX_WIDTH = 1 << 15, 48, 4, 64
 COSINE, MISSED, SHARE, LOW_SHARE, ANSWER = 0.72, 0.01, 0.7, 0.5, 5
@@ -533,5 +533,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[d for d, *_ in search(part.column("text"), *sent.value)]] = False
                     yield part.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_rows(out, run)
     return out

@@ -1,7 +1,7 @@
 """PII by a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Characters are read as themselves where ASCII and as one letter otherwise. Two LSTM layers of HIDDEN units, with clipped
-linear gates, read a window from either side; a linear layer scores the tags of every character, and learned transitions between tags score
+Characters are read as themselves where ASCII or a letter of Latin-1 (as German, Spanish and French have them), and as
+one letter otherwise. Two LSTM layers of HIDDEN units, with clipped linear gates, read a window from either side; a linear layer scores the tags of every character, and learned transitions between tags score
 their sequence. Training maximises the conditional likelihood of labelled spans by Adam; decoding is Viterbi's.
 
 The labelled spans come from the trainer's own generator: personal data in many formats, and look-alikes that are none
@@ -29,7 +29,8 @@ from docgraph.llm import tokens as tk
 TAGS = ("O", "EMAIL", "PHONE", "IP", "CARD")
 HIDDEN, WINDOW, OVERLAP, BACKGROUND = 12, 512, 64, 400
 STEPS, BATCH, LENGTH = 700, 96, 96
-VOCABULARY = 130
+#: ASCII, any other character, the letters of Latin-1.
+VOCABULARY = 128 + 1 + 64
 #: What a span of a kind can't be without: so many digits, dots and at signs; spans without them are noise.
 NEEDS = {"EMAIL": (0, 1, 1), "PHONE": (7, 0, 0), "IP": (4, 3, 0), "CARD": (12, 0, 0)}
 _K = len(TAGS)
@@ -138,9 +139,17 @@ def loss_and_gradients(m: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, l
 
 
 def codes(text: np.ndarray) -> np.ndarray:
-    """Numbers of the characters of UTF-8 bytes: ASCII as it is, 128 for any other."""
-    lead = text[(text & 0xC0) != 0x80]
-    return np.minimum(lead, 128).astype(np.uint8)
+    """Numbers of the characters of UTF-8 bytes: ASCII as it is, letters of Latin-1 from 129 on, 128 for any other."""
+    at = np.flatnonzero((text & 0xC0) != 0x80)
+    lead = text[at]
+    out = np.minimum(lead, 128).astype(np.uint8)
+    latin = np.flatnonzero((lead == 0xC3) & (at + 1 < len(text)))
+    out[latin] = 129 + (text[at[latin] + 1] & 0x3F)
+    return out
+
+
+def code_of(char: str) -> int:
+    return min(ord(char), 128) if not 0xC0 <= ord(char) <= 0xFF else 129 + ord(char) - 0xC0
 
 
 class Generator:
@@ -211,7 +220,7 @@ class Generator:
             text += before + piece + after
             tags += [0] * len(before) + [tag] * len(piece) + [0] * len(after)
         at = self._n(0, 40)
-        raw = np.array([min(ord(c), 128) for c in text[at : at + length]], np.uint8)
+        raw = np.array([code_of(c) for c in text[at : at + length]], np.uint8)
         return raw, np.array(tags[at : at + length], np.int64)
 
 
@@ -324,7 +333,7 @@ def tag_texts(texts: pa.Array, decoder: Decoder, together: int = 1024) -> tuple[
     """(text, first character, last + 1, tag) of every run of a tag in the texts."""
     data, offsets = tk.text_bytes(texts)
     lead = (data & 0xC0) != 0x80
-    chars = np.minimum(data[lead], 128)
+    chars = codes(data)
     at = np.concatenate([[0], np.cumsum(lead)])[offsets]
     lengths = np.diff(at)
     some = np.flatnonzero(lengths)

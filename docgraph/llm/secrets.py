@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.llm import tokens as tk
+from docgraph.llm.common import map_rows
 
 MIN_LENGTH, MIN_BITS, RATE, BATTERY = 16, 80, 0.01, 1e-4
 #: p-values are counted by -log10 in steps of 1 / GRAIN up to TOP; those of 0.1 and more can't be found at this rate.
@@ -289,7 +290,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 cols[place] = pa.array(texts, cols[place].type)
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_rows(docs, run)
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

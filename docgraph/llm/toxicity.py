@@ -34,9 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from docgraph.llm import tokens as tk
+from docgraph.llm.common import map_rows
 
 DECAY = 0.6
 #: Longer units are scored in overlapping windows of so many characters, of which two are the marks at its ends.
@@ -546,7 +546,7 @@ class Scorer:
         return score, word
 
 
-def _score(docs: DataFrame, model: Model, columns: list[str], keep_toxic: bool, schema: StructType | str) -> DataFrame:
+def _score(docs: DataFrame, model: Model, keep_toxic: bool) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -561,7 +561,9 @@ def _score(docs: DataFrame, model: Model, columns: list[str], keep_toxic: bool,
                 else:
                     yield part.filter(pa.array(~bad))
 
-    return docs.select(*[F.col("`" + c.replace("`", "``") + "`") for c in columns]).mapInArrow(run, schema)
+    if not keep_toxic:
+        return map_rows(docs, run)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, worst_word long")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -573,9 +575,9 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     are not read. Empty tables give no rows.
     """
     model = fit(docs, labels, per_class)
-    return _score(docs, model, ["doc_id", "text"], True, "doc_id long, score double, worst_word long")
+    return _score(docs, model, True)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The documents without those that toxic_documents has, with all their columns."""
-    return _score(docs, fit(docs, labels, per_class), docs.columns, False, docs.schema)
+    return _score(docs, fit(docs, labels, per_class), False)
