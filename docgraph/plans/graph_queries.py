@@ -130,16 +130,16 @@ def code_edges(name: str, rule: str, own: list[tuple[str, str]], other: list[tup
     query(name, f"WITH {S_FILES} " + " UNION ALL ".join(parts))(run)
 
 
-code_edges("g07_contains", "contains", [("", x) for x in ("#CodeBlock_0", "#Base{}", "#Base{}.go", "#Base{}.step{}", "#later{}", "#helper{}", "#run{}")], [])
-code_edges("g08_imports", "imports", [], [("#CodeBlock_0", "#Base{}"), ("#CodeBlock_0", "#helper{}")])
-code_edges("g09_calls", "calls", [("#Base{}.step{}", "#helper{}"), ("#run{}", "#later{}"), ("#run{}", "#Base{}")], [("#later{}", "#run{}"), ("#run{}", "#helper{}")])
-code_edges("g10_maybe_calls", "maybe_calls", [], [("#later{}", "#Base{}.step{}")])
-code_edges("g11_inherits", "inherits", [], [("#Base{}", "#Base{}")])
-code_edges("g12_overrides", "overrides", [], [("#Base{}.go", "#Base{}.go")])
-code_edges("g13_uses_type", "uses_type", [], [("#later{}", "#Base{}")])
-code_edges("g14_mutates_global", "mutates_global", [("#Base{}.step{}", "#CodeBlock_0")], [])
-code_edges("g15_raises", "raises", [("#Base{}.go", "exception:ValueError")], [])
-code_edges("g16_exposes", "exposes", [("", "#Base{}"), ("", "#run{}")], [])
+code_edges("g08_contains", "contains", [("", x) for x in ("#CodeBlock_0", "#Base{}", "#Base{}.go", "#Base{}.step{}", "#later{}", "#helper{}", "#run{}")], [])
+code_edges("g09_imports", "imports", [], [("#CodeBlock_0", "#Base{}"), ("#CodeBlock_0", "#helper{}")])
+code_edges("g10_calls", "calls", [("#Base{}.step{}", "#helper{}"), ("#run{}", "#later{}"), ("#run{}", "#Base{}")], [("#later{}", "#run{}"), ("#run{}", "#helper{}")])
+code_edges("g11_maybe_calls", "maybe_calls", [], [("#later{}", "#Base{}.step{}")])
+code_edges("g12_inherits", "inherits", [], [("#Base{}", "#Base{}")])
+code_edges("g13_overrides", "overrides", [], [("#Base{}.go", "#Base{}.go")])
+code_edges("g14_uses_type", "uses_type", [], [("#later{}", "#Base{}")])
+code_edges("g15_mutates_global", "mutates_global", [("#Base{}.step{}", "#CodeBlock_0")], [])
+code_edges("g16_raises", "raises", [("#Base{}.go", "exception:ValueError")], [])
+code_edges("g17_exposes", "exposes", [("", "#Base{}"), ("", "#run{}")], [])
 
 
 @query("w04_vectors")
