@@ -13,7 +13,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    """Every document with the id of its class of near copies."""
+    return simhash.classes(table(spark, sf_dir, "documents"))
 
 
 def op5_rabitq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

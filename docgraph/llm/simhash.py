@@ -1,26 +1,27 @@
-"""SimHash near-dedup with BK-trees.
+"""SimHash near-dedup: every pair of fingerprints within the radius is found, with BK-trees over parts of them.
 
 Every document gets a 128-bit SimHash over its folded word pairs (with end markers, so that one word is enough). Two
-documents are near copies where their fingerprints differ in at most ``radius`` bits. Distinct fingerprints are put
-into shards, by several sampled sets of bits; each shard has a BK-tree, in which the children of a node are keyed by
-their Hamming distance to it, and every fingerprint of the shard is looked up, following only the edges within the
-radius. The trees of all shards of a task are built and searched level by level in numpy.
-
-The number of sampled bits grows with the logarithm of the corpus, so that a shard keeps a constant expected number of
-unrelated fingerprints, SHARD, and the number of samplings is the one that finds a pair at ``radius`` bits with
-probability ``recall``, at every size; copies at fewer bits are found more surely. It grows as a power of the corpus:
-larger shards need fewer samplings, and so fewer rows to be shuffled, for more comparisons.
-
-There is one way at every size: fingerprints travel to their shards, 16 bytes and the sampling's number a row, and the
-shards' trees are built where they meet. (Trees sent to all executors would grow with the corpus.) In a shard of very many
-fingerprints, such as a large family of near copies, a lookup passes over every subtree that the looked-up fingerprint
-is linked to already: its time is about proportional to its size.
+documents are near copies where their fingerprints differ in at most ``radius`` bits.
+
+A BK-tree over whole fingerprints prunes nothing at 30 of 128 bits: strangers differ in about 64 bits, and so do the
+distances to any node. So fingerprints are cut into parts whose tolerances and ones add up to ``radius`` + 1: a pair
+within the radius is within the tolerance in at least one part (pigeonhole). For each part the distinct values are
+looked up in a BK-tree with that tolerance, and the fingerprints of two values so found are compared in full, each with
+each, in numpy. No link is left out. Parts are fewer and longer the larger the corpus is, so that a value keeps enough
+fingerprints to be compared at once; the share of all pairs that is compared falls from a half to a thirteenth.
+
+There is one way at every size: for each part, fingerprints travel to the cells of the groups of values that they meet,
+16 bytes and the cell's number a row. A cell keeps the components that it knows, and what is of one component is
+not compared again, so that a large family of near copies costs little more than its size.
+
+``sampled_pairs`` is the cheaper way by sampled bits, which leaves out a share of the links; no query uses it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ RECALL = 0.92
 SHARD = 512
 #: Larger shards are searched with regard to what is linked already. Rows of a task, about, and of those searched at once.
 HOT, TASK_ROWS, AT_ONCE = 8192, 1 << 20, 1 << 17
+#: Fingerprints of a group of values, about; pairs that are compared at once; links that are held before they are joined.
+GROUP, TILE, HELD = 1 << 20, 1 << 17, 1 << 18
 #: _LANES[b] has the bits of b in the eight bytes of a word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 
@@ -252,8 +255,162 @@ def shard_edges(prints: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[
         yield rows[a], rows[b]
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints (id, h1, h2) within the radius that share a shard."""
+@dataclass(frozen=True)
+class Part:
+    """The bits of a fingerprint from ``low`` of word ``word`` on, and in how many of them a pair may differ."""
+
+    word: int
+    low: int
+    width: int
+    tolerance: int
+
+    def values(self, prints: np.ndarray) -> np.ndarray:
+        return (prints[:, self.word] >> np.uint64(self.low)) & np.uint64((1 << self.width) - 1)
+
+
+def cut_parts(count: int, radius: int) -> list[Part]:
+    """``count`` parts, an even number, none across words. Any two fingerprints within the radius meet in one of them."""
+    half = count // 2
+    edges = np.linspace(0, 64, half + 1).round().astype(int).tolist()
+    places = [(word, edges[i], edges[i + 1] - edges[i]) for word in (0, 1) for i in range(half)]
+    least, more = divmod(radius + 1, count)
+    wide = sorted(range(count), key=lambda i: -places[i][2])
+    tolerance = {i: least - 1 + (k < more) for k, i in enumerate(wide)}
+    return [Part(*places[i], tolerance[i]) for i in range(count) if tolerance[i] >= 0]
+
+
+def parts_for(n: int, radius: int = RADIUS) -> list[Part]:
+    """The parts that cost least for n even fingerprints: in comparisons, and in values, which cost about 150,000 of them each (measured)."""
+
+    def price(parts: list[Part]) -> float:
+        return sum(n * n / 2 * sum(math.comb(p.width, k) for k in range(p.tolerance + 1)) / 2**p.width + 150_000 * min(n, 2**p.width) for p in parts)
+
+    return min((cut_parts(count, radius) for count in range(8, 18, 2)), key=price)
+
+
+class Linker:
+    """The components of the rows of ``prints`` by what is within the radius among the rows that are compared."""
+
+    def __init__(self, prints: np.ndarray, radius: int) -> None:
+        self.h1, self.h2 = np.ascontiguousarray(prints[:, 0]), np.ascontiguousarray(prints[:, 1])
+        self.radius, self.root = radius, np.arange(len(prints))
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.count = 0
+
+    def join(self) -> None:
+        if self.count:
+            link(self.root, *(np.concatenate(x) for x in zip(*self.held, strict=True)))
+            self.held, self.count = [], 0
+
+    def compare(self, rows: np.ndarray, cols: np.ndarray) -> None:
+        """Each of the rows with each of the columns, but those known to be of one component."""
+        high = max(1, min(len(rows), 64))
+        wide = max(1, TILE // high)
+        for low in range(0, len(rows), high):
+            a = rows[low : low + high]
+            for left in range(0, len(cols), wide):
+                b = cols[left : left + wide]
+                of = self.root[a]
+                same = of == of[0]
+                self._tile(a[same], b[self.root[b] != of[0]])
+                if not same.all():
+                    self._tile(a[~same], b)
+
+    def _tile(self, a: np.ndarray, b: np.ndarray) -> None:
+        if not len(a) or not len(b):
+            return
+        d = np.bitwise_count(self.h1[a][:, None] ^ self.h1[b])
+        d += np.bitwise_count(self.h2[a][:, None] ^ self.h2[b])
+        if d.min() > self.radius:
+            return
+        i, j = np.nonzero(d <= self.radius)
+        i, j = a[i], b[j]
+        new = self.root[i] != self.root[j]
+        self.held.append((i[new], j[new]))
+        self.count += int(new.sum())
+        if self.count >= HELD:
+            self.join()
+
+
+def cell_edges(prints: np.ndarray, part: Part, group_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (item, least of its component) by all pairs within the tolerance of the part, of one group or of two different ones."""
+    value = part.values(prints)
+    order = np.argsort(value, kind="stable")
+    values, first = np.unique(value[order], return_index=True)
+    last = np.append(first[1:], len(order))
+    group = values >> np.uint64(part.width - group_bits)
+    two = len(values) and group[0] != group[-1]
+    found = [np.empty((2, 0), np.int64)] if two else [np.tile(np.arange(len(values)), (2, 1))]
+    shuffled = np.random.default_rng(1).permutation(len(values))
+    tree = Trees(np.stack([values[shuffled], np.zeros_like(values)], axis=1), np.zeros(len(values), np.uint64))
+    for i, j in tree.pairs(part.tolerance):
+        i, j = shuffled[i], shuffled[j]
+        keep = group[i] != group[j] if two else slice(None)
+        found.append(np.stack([np.minimum(i, j)[keep], np.maximum(i, j)[keep]]))
+    near = np.concatenate(found, axis=1)
+    near = near[:, np.lexsort((near[1], near[0]))]
+    at = np.flatnonzero(np.concatenate([[True], near[0][1:] != near[0][:-1]])) if near.shape[1] else np.empty(0, np.int64)
+    linker = Linker(prints[order], radius)
+    for s, e in zip(at.tolist(), np.append(at, near.shape[1])[1:].tolist(), strict=True):
+        to = near[1, s:e]
+        size = last[to] - first[to]
+        cols = np.repeat(first[to] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        linker.compare(np.arange(first[near[0, s]], last[near[0, s]]), cols)
+    linker.join()
+    item = np.flatnonzero(linker.root != np.arange(len(order)))
+    return order[item], order[linker.root[item]]
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints (id, h1, h2) within the radius."""
+    n = prints.count()
+    parts = parts_for(n, radius)
+    bits = max(1, math.ceil(math.log2(max(n, 1) / GROUP)))
+    # a cell for two groups of a part that can hold values within its tolerance
+    cells = [(p, i, j) for p in range(len(parts)) for i in range(1 << bits) for j in range(i, 1 << bits) if (i ^ j).bit_count() <= parts[p].tolerance]
+    number = np.full((len(parts), 1 << bits, 1 << bits), -1, np.int32)
+    for c, (p, i, j) in enumerate(cells):
+        number[p, i, j] = number[p, j, i] = c
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in ("h1", "h2")], axis=1).view(np.uint64)
+            for p, part in enumerate(parts):
+                group = (part.values(marks) >> np.uint64(part.width - bits)).astype(np.int64)
+                for other in range(1 << bits):
+                    cell = number[p, group, other]
+                    to = pa.array(cell >= 0)
+                    yield pa.RecordBatch.from_arrays([x.filter(to) for x in (pa.array(cell), *batch.columns)], names=["cell", "h1", "h2"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        cell, h1, h2 = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("cell", "h1", "h2"))
+        held.clear()
+        for c in np.unique(cell).tolist():
+            own = np.flatnonzero(cell == c)
+            a, b = cell_edges(np.stack([h1[own], h2[own]], axis=1).view(np.uint64), parts[cells[c][0]], bits, radius)
+            a, b = own[a], own[b]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[a], h2[a], h1[b], h2[b])], names=["a1", "a2", "b1", "b2"])
+
+    placed = prints.select("h1", "h2").mapInArrow(spread, "cell int, h1 long, h2 long").repartitionById(len(cells), F.col("cell"))
+    return _named(prints, placed.mapInArrow(search, "a1 long, a2 long, b1 long, b2 long"))
+
+
+def _named(prints: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): the ids of the fingerprints of edges."""
+    edges = cut(found.distinct())
+    end = lambda c: prints.select(F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"), F.col("id").alias(c))
+    return edges.join(end("a"), ["a1", "a2"]).join(end("b"), ["b1", "b2"]).select("a", "b").distinct()
+
+
+def sampled_pairs(prints: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints (id, h1, h2) within the radius that share a shard.
+
+    Shards are made by several sampled sets of bits, each with a BK-tree over whole fingerprints. As many samplings are
+    made as find a pair at ``radius`` bits with probability ``recall``; the other links are left out.
+    """
     n = prints.count()
     tables = sampling(n, radius, recall)
     parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(tables) // TASK_ROWS))
@@ -280,28 +437,39 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, recall: float = RECALL)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[a], h2[a], h1[b], h2[b])], names=["a1", "a2", "b1", "b2"])
 
     placed = prints.select("h1", "h2").mapInArrow(spread, "part int, t int, h1 long, h2 long").repartition(parts, "part")
-    edges = cut(placed.mapInArrow(search, "a1 long, a2 long, b1 long, b2 long").distinct())
-    end = lambda c: prints.select(F.col("h1").alias(f"{c}1"), F.col("h2").alias(f"{c}2"), F.col("id").alias(c))
-    return edges.join(end("a"), ["a1", "a2"]).join(end("b"), ["b1", "b2"]).select("a", "b").distinct()
+    return _named(prints, placed.mapInArrow(search, "a1 long, a2 long, b1 long, b2 long"))
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(doc_id, class_id): every document with an id and a word, once, and the least id of its class."""
+    prints = cut(print_docs(docs, id_col, text_col))
+    heads = cut(prints.groupBy("h1", "h2").agg(F.min("id").alias("id"))).select("id", "h1", "h2")
+    held = prints.join(heads.withColumnRenamed("id", "head"), ["h1", "h2"]).groupBy("id").agg(F.min("head").alias("head"), F.collect_set("head").alias("heads"))
+    held = cut(held)
+    # an id that stands at several texts joins their classes
+    same = held.where(F.size("heads") > 1).select(F.col("head").alias("a"), F.explode("heads").alias("b"))
+    joined = groups(near_pairs(heads, radius).unionByName(same))
+    return held.join(joined, held["head"] == joined["node"], "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "head").alias("class_id"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(doc_id, class_id): one row for every document that has an id; the class is named by its least id.
+
+    Classes are the connected components of the near-copy relation, with no link left out. Equal texts have equal
+    fingerprints, so exact copies are of one class, as are rows that repeat an id. Null, empty and wordless texts are a
+    class of their own each. Very long texts are read whole; other columns are not read. An empty table gives no rows.
+    """
+    found = _members(docs, id_col, text_col, radius)
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, keep_id): every document that repeats another, and the least id of its group, which stays.
+    """(doc_id, keep_id): every document that repeats another, and the least id of its class, which stays.
 
-    Equal texts have equal fingerprints, so exact copies belong to the same group. Groups are the connected components
-    of the near-copy relation. Documents with a null id, a null text or no word belong to no group and are kept; rows
-    that repeat an id count once; very long texts are read whole; other columns are not read. An empty table gives no
-    rows.
+    These are the rows of classes() whose document isn't the first of its class.
     """
-    prints = cut(print_docs(docs, id_col, text_col))
-    heads = cut(prints.groupBy("h1", "h2").agg(F.min("id").alias("id"))).select("id", "h1", "h2")
-    exact = prints.join(heads.withColumnRenamed("id", "head"), ["h1", "h2"]).select("id", "head").distinct()
-    joined = groups(near_pairs(heads, radius))
-    return (
-        exact.join(joined, exact["head"] == joined["node"], "left")
-        .select(F.col("id").alias("doc_id"), F.coalesce("root", "head").alias("keep_id"))
-        .where("doc_id <> keep_id")
-    )
+    return _members(docs, id_col, text_col, radius).where("doc_id <> class_id").withColumnRenamed("class_id", "keep_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -68,6 +68,44 @@ def test_simhash_recall_near_radius(spark):
         assert len(found & pairs) >= 0.9 * len(pairs), steps[k]
 
 
+def test_simhash_loses_no_link(spark):
+    """All pairs at the radius itself are linked, and none beyond it, among strangers and at every way to cut."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    base = rng.integers(0, 2, (n, simhash.BITS)).astype(np.uint8)
+    other = base.copy()
+    for i in range(n):
+        other[i, rng.choice(simhash.BITS, simhash.RADIUS + (i % 4 == 3), replace=False)] ^= 1
+    marks = np.packbits(np.concatenate([base, other]), axis=1)
+    heads = spark.createDataFrame([(i, *m) for i, m in enumerate(marks.view(np.int64).tolist())], "id long, h1 long, h2 long")
+    want = {(i, i + n) for i in range(n) if i % 4 != 3}
+    assert {tuple(sorted(r)) for r in simhash.near_pairs(heads).collect()} == want
+    marks = np.concatenate([marks[:250], marks[n : n + 250]]).view(np.uint64)
+    for count in range(8, 18, 2):
+        parts = simhash.cut_parts(count, simhash.RADIUS)
+        assert sum(p.width for p in parts) == simhash.BITS and sum(p.tolerance + 1 for p in parts) == simhash.RADIUS + 1
+        found = {(min(a, b), max(a, b)) for p in parts for a, b in zip(*(x.tolist() for x in simhash.cell_edges(marks, p, 0, simhash.RADIUS)), strict=True)}
+        assert found == {(i, i + 250) for i in range(250) if i % 4 != 3}
+
+
+def test_simhash_classes(spark, odd, none):
+    """One row for each id: as brute force has it, with large families and strangers, and with odd rows."""
+    import pyarrow as pa
+
+    rows = corpus()
+    rows += [(1000 + k, rows[0][1], "a") for k in range(300)]
+    ids = [i for i, _, _ in rows]
+    marks = simhash.fingerprints(pa.array([t for _, t, _ in rows]))
+    d = np.bitwise_count(marks[:, None] ^ marks[None]).sum(axis=2)
+    full = brute_groups(ids, {(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if d[i, j] <= simhash.RADIUS})
+    got = [tuple(r) for r in simhash.classes(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted((i, full.get(i, i)) for i in set(ids))
+    assert sorted(tuple(r) for r in simhash.classes(odd).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (7, 7), (8, 8)]
+    assert simhash.classes(none).count() == 0
+    twice = frame(spark, [(1, "one text", "a"), (2, "another one", "a"), (3, "one text", "a"), (3, "another one", "a")])
+    assert sorted(tuple(r) for r in simhash.classes(twice).collect()) == [(1, 1), (2, 1), (3, 1)]
+
+
 def test_simhash_recall_does_not_depend_on_size():
     """The same pairs at 24 bits among ten times as many strangers: sampling keeps the chance to meet."""
     rng = np.random.default_rng(2)
