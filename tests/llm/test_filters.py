@@ -117,6 +117,26 @@ def test_toxicity_decision_by_explicit_sums(pairs):
     assert word[1] >= 0 and word[5] == word[6] == word[7] == -1
 
 
+def test_toxicity_training_holds_little():
+    """The units of many texts are those of all texts at once, and a few times their size is held at most."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [prose(k, 400, 300) + " i d i o t größe id-iot" for k in range(150)] + ["", "word"]
+    u = toxicity.units(pa.array(texts, pa.string()))
+    names, strings, of, doc, single = toxicity.units_of(texts)
+    assert (names[of] == u.hash).all() and (doc == u.doc).all() and (single == u.single).all()
+    assert [strings[i] for i in of[:5000]] == u.bytes(np.arange(5000))
+    many = texts * 40
+    size = sum(len(t) for t in many)
+    tracemalloc.start()
+    toxicity.units_of(many)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 10 * size
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
     odd = odd.withColumnRenamed("root", "a `quoted` name")
