@@ -242,9 +242,11 @@ def nearest(df: DataFrame, vector: list[float], k: int = 5, features: str = "emb
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
-def nearest_batch(df: DataFrame, queries: DataFrame, k: int = 5, features: str = "embedding", id_col: str = "vec_id", block: int = 20_000, itself: bool = True) -> DataFrame:
+def nearest_batch(df: DataFrame, queries: DataFrame, k: int = 5, features: str = "embedding", id_col: str = "vec_id", block: int = 20_000, itself: bool = True, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank) for every query; rows with the query's own id count only if ``itself`` is set.
 
+    Scores are rounded to six digits, and then to ``digits`` if these are fewer; ranks go by what is left, ties by id.
+
     A batch of rows is scored against a block of queries at once in numpy, in the task that holds it, and only its k best
     for each query leave: what is shuffled is queries x k x tasks. Queries are broadcast in blocks of at most ``block``,
     each a scan of ``df``.
@@ -254,22 +256,28 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int = 5, features: str =
     for row in queries.where(F.col(features).isNotNull()).select(id_col, features).toLocalIterator():
         held.append(row)
         if len(held) == block:
-            part = _nearest_block(df, held, k, features, id_col, itself)
+            part = _nearest_block(df, held, k, features, id_col, itself, digits)
             found, held = part if found is None else found.unionByName(part), []
     if held or found is None:
-        part = _nearest_block(df, held, k, features, id_col, itself)
+        part = _nearest_block(df, held, k, features, id_col, itself, digits)
         found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _nearest_block(df: DataFrame, rows: list[Any], k: int, features: str, id_col: str, itself: bool) -> DataFrame:
+def _nearest_block(df: DataFrame, rows: list[Any], k: int, features: str, id_col: str, itself: bool, digits: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
     sent = df.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
     kind = df.schema[id_col].dataType.simpleString()
 
+    def to_digits(x: Any, n: int) -> Any:
+        # half away from zero on the scaled number, as SQL has it
+        scaled = x * 10.0**n
+        whole = np.trunc(scaled)
+        return (whole + np.sign(scaled) * (np.abs(scaled - whole) >= 0.5)) / 10.0**n
+
     def run(batches: Any) -> Any:
         ids, q = sent.value
         best: dict[int, list[tuple[float, Any]]] = {}
@@ -277,13 +285,19 @@ def _nearest_block(df: DataFrame, rows: list[Any], k: int, features: str, id_col
             if not len(ids) or not len(pdf):
                 continue
             x = np.stack(pdf[features].to_numpy()).astype(np.float64)
-            score = np.round(1 - np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (q**2).sum(1) - 2 * x @ q.T)), 6)
+            squares = (x**2).sum(1)[:, None] + (q**2).sum(1)
+            rough = 1 - np.sqrt(np.maximum(0, squares - 2 * x @ q.T))
+            # what the product's errors and the rounding can move a score
+            margin = 1.1 * (10.0**-digits + 1e-6) + 2 * np.sqrt(4 * x.shape[1] * np.finfo(float).eps * squares.max(axis=0))
             own = pdf[id_col].to_numpy()
             for j in range(len(ids)):
-                s = score[:, j] if itself else np.where(own == ids[j], -np.inf, score[:, j])
-                cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                found = best.get(j, []) + [(-float(s[i]), own[i]) for i in np.flatnonzero((s >= cut) & (s > -np.inf))]
-                best[j] = sorted(found)[:k]
+                s = rough[:, j] if itself else np.where(own == ids[j], -np.inf, rough[:, j])
+                cut = np.partition(s, -k)[-k] - margin[j] if len(s) > k else -np.inf
+                near = np.flatnonzero((s >= cut) & (s > -np.inf))
+                exact = to_digits(1 - np.sqrt(np.cumsum((x[near] - q[j]) ** 2, axis=1)[:, -1]), 6)
+                if digits < 6:
+                    exact = to_digits(exact, digits)
+                best[j] = sorted(best.get(j, []) + list(zip((-exact).tolist(), own[near], strict=True)))[:k]
         yield pd.DataFrame([(ids[j], i, -s) for j, found in best.items() for s, i in found], columns=["query_id", id_col, "score"])
 
     return df.where(F.col(features).isNotNull()).select(id_col, features).mapInPandas(run, f"query_id {kind}, {id_col} {kind}, score double")

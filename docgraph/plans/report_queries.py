@@ -216,7 +216,7 @@ def e01(spark: SparkSession, d: str) -> DataFrame:
 @query("e01_knn_batch", f"WITH s AS (SELECT q.vec_id AS query_id, a.vec_id, round(round({S_DIST}, 6), 5) AS score FROM embeddings a, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q WHERE a.vec_id <> q.vec_id) SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5")
 def e01_batch(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return rounded(an.nearest_batch(e, e.where("vec_id % 50 = 0"), 5, itself=False), "score", n=5)
+    return an.nearest_batch(e, e.where("vec_id % 50 = 0"), 5, itself=False, digits=5)
 
 
 @query("e02_sql", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000")
