@@ -284,19 +284,17 @@ def cluster_sentences(vectors: DataFrame, k: int = 2, seed: int = 1, features: s
 def topic_chunks(df: DataFrame, topics: int = 3, seed: int = 1, terms: int = 5, content: str = "content", id_col: str = "doc_id") -> DataFrame:
     """(id, topic, words): each text's likeliest topic, with the topic's weightiest words.
 
-    All words count, however rare: the vocabulary is as large as the number of different words. Texts without a word
-    have no row.
+    All words count, however rare, and no list of them is in one place (see topics.Topics). Texts without a word have no
+    row.
     """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
-    words = df.select(id_col, F.regexp_extract_all(F.lower(content), F.lit(r"\p{L}+"), F.lit(0)).alias("w")).where("size(w) > 0")
-    different = words.select(F.explode("w").alias("w")).distinct().count()
-    counter = CountVectorizer(inputCol="w", outputCol="features", vocabSize=max(1, different), minDF=1).fit(words)
-    counted = counter.transform(words)
-    model = LDA(k=topics, seed=seed, maxIter=10).fit(counted)
-    names = [[counter.vocabulary[i] for i in r["termIndices"]] for r in model.describeTopics(terms).orderBy("topic").collect()]
-    best = vector_to_array("topicDistribution")
-    scored = model.transform(counted).select(id_col, (F.array_position(best, F.array_max(best)) - 1).cast("int").alias("topic"))
-    return scored.withColumn("words", F.element_at(F.array(*[F.lit(json.dumps(n)) for n in names]), F.col("topic") + 1))
+    from docgraph.operators.topics import Topics
+
+    found = F.regexp_extract_all(F.lower("content"), F.lit(r"\p{L}+"), F.lit(0))
+    keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, content).alias("d"), F.col(content).alias("content"))
+    model = Topics(keyed.select("id", "d", F.transform(found, lambda x: F.xxhash64(x)).alias("w")), topics, seed, terms)
+    best = model.heaviest()
+    wanted = sorted({h for b in best for h in b})
+    few = keyed.join(F.broadcast(model.holding(wanted)), "d", "left_semi").select(F.explode(found).alias("w")).distinct()
+    of = dict(few.where(F.xxhash64("w").isin(wanted)).groupBy(F.xxhash64("w").alias("h")).agg(F.min("w").alias("w")).collect())
+    names = F.array(*[F.lit(json.dumps([of[h] for h in b])) for b in best])
+    return model.topics().select(F.col("id").alias(id_col), "topic", F.element_at(names, F.col("topic") + 1).alias("words"))

@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import re
 import sqlite3
 import uuid
@@ -333,6 +334,66 @@ def test_topics_count_every_word(spark):
     assert {r["doc_id"] for r in out.collect()} == {0, 1, 2, 3, 4, 5, 9}
 
 
+def test_topics_by_hand(spark, monkeypatch):
+    """As one loop over texts and words would have it, however rows lie and blocks are cut; no vocabulary at the driver."""
+    from pyspark.ml.feature import CountVectorizer
+
+    from docgraph.operators import topics as lda
+
+    monkeypatch.setattr(CountVectorizer, "fit", lambda *a: pytest.fail("the vocabulary goes to the driver"))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'xyz'[i % 3]}{chr(97 + j)}" for j in rng.integers(0, 12, 30)) for i in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, "?"), (7, texts[7])]
+    df = spark.createDataFrame(rows, "key long, text string")
+    got = chunk.topic_chunks(df.repartition(7), content="text", id_col="key").collect()
+    monkeypatch.setattr(lda, "BLOCK", 100)
+    assert sorted(map(tuple, chunk.topic_chunks(df.coalesce(1), content="text", id_col="key").collect())) == sorted(map(tuple, got))
+
+    full = df.where("text rlike '[a-z]'").selectExpr("key", "xxhash64(key, text) AS d", "split(text, ' ') AS w", "transform(split(text, ' '), x -> xxhash64(x)) AS h").collect()
+    words = sorted({(h, w) for r in full for h, w in zip(r["h"], r["w"], strict=True)})
+    place = {h: i for i, (h, _) in enumerate(words)}
+    lam, alpha = lda.draws(np.array([h for h, _ in words]), 3, 1), np.full(3, 1 / 3)
+    e_log = lambda x: lda.digamma(x) - lda.digamma(np.array([x.sum()]))
+    start = np.random.default_rng(1).gamma(100, 0.01, 3)
+
+    def one(r):
+        at, n = np.unique([place[h] for h in r["h"]], return_counts=True)
+        beta, gamma, moved = np.exp(np.stack([e_log(lam[:, k]) for k in range(3)], 1))[at], start, 1
+        while moved > 1e-3:
+            theta = np.exp(e_log(gamma))
+            new = theta * (beta.T @ (n / (beta @ theta + 1e-100))) + alpha
+            moved, gamma = np.abs(new - gamma).mean(), new
+        theta = np.exp(e_log(gamma))
+        return gamma, at, beta * theta * (n / (beta @ theta + 1e-100))[:, None]
+
+    done = 0
+    for t in range(1, 11):
+        batch = [r for r in full if lda.uniform(np.array([r["d"]]), 1, 1, t)[0] < 0.05]
+        if not batch:
+            continue
+        done += 1
+        rho, stat, found = (1024 + done) ** -0.51, np.zeros_like(lam), [one(r) for r in batch]
+        for _, at, s in found:
+            stat[at] += s
+        lam = (1 - rho) * lam + rho * (stat * len(full) / math.ceil(0.05 * len(full)) + 1 / 3)
+        m = len(batch)
+        slope, q, z = m * (np.mean([e_log(g) for g, *_ in found], axis=0) - e_log(alpha)), -m * lda.trigamma(alpha), m * lda.trigamma(alpha.sum())
+        step = rho * -(slope - (slope / q).sum() / (1 / z + (1 / q).sum())) / q
+        alpha = alpha + step if (alpha + step > 0).all() else alpha
+    best = [json.dumps([words[i][1] for i in np.argsort(-lam[:, k])[:5]]) for k in range(3)]
+    want = sorted((r["key"], int(k := one(r)[0].argmax()), best[k]) for r in full)
+    assert done and sorted(map(tuple, got)) == want
+    assert len({r["topic"] for r in got}) > 1
+
+
+def test_topics_digamma():
+    from docgraph.operators import topics as lda
+
+    x, h = np.array([0.3, 1.0, 2.5, 40.0, 1e6]), 1e-4
+    assert np.allclose(lda.digamma(x), [(math.lgamma(v + h) - math.lgamma(v - h)) / (2 * h) for v in x], atol=1e-4, rtol=1e-4)
+    assert np.allclose(lda.digamma(np.array([1.0])), -0.5772156649015329, atol=1e-11) and np.allclose(lda.trigamma(np.array([1.0])), np.pi**2 / 6, atol=1e-11)
+
+
 def test_clusters_part_far_vectors(spark):
     df = spark.createDataFrame([(i, [float(i % 2) * 10, float(i) / 100]) for i in range(20)], "vec_id long, embedding array<float>")
     got = {r["vec_id"]: r["cluster"] for r in chunk.cluster_sentences(df).collect()}
