@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +47,45 @@ def structure_sections(df: DataFrame, separator: str = r"\n\n", content: str = "
     return out.select(id_col, "section", F.posexplode(parts).alias("part", "content"))
 
 
-def recursive_pieces(size: int = 1000, overlap: int = 100, separators: list[str] | None = None, protected: list[str] | None = None, merge: bool = True) -> Callable[[Column], Column]:
-    """A pandas UDF from texts to their chunks."""
-    kernels.check_sizes(size, overlap)
+#: Texts, and bytes of them, whose pieces a Python worker holds at a time.
+SLICE_ROWS, SLICE_BYTES = 500, 1 << 20
+
+
+def slices(batch: Any, texts: pa.Array) -> Iterator[Any]:
+    """An Arrow batch or array in slices, so that what is made of it is small, however many texts come at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(size):
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        end = min(max(end, at + 1), at + SLICE_ROWS)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def text_udf(kernel: Callable[[str | None], Any], kind: str) -> Callable[[Column], Column]:
+    """An Arrow UDF from texts to what the kernel makes of each, slice by slice."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    made = to_arrow_type(DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            if not len(batch):
+                yield pa.array([], made)
+            for part in slices(batch, batch):
+                yield pa.array([kernel(t) for t in part.to_pylist()], made)
+
+    return run
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        if protected:
-            return texts.map(lambda t: kernels.protected_split(t or "", protected, size, overlap))
-        return texts.map(lambda t: kernels.recursive_split(t or "", size, overlap, separators, merge))
 
-    return split
+def recursive_pieces(size: int = 1000, overlap: int = 100, separators: list[str] | None = None, protected: list[str] | None = None, merge: bool = True) -> Callable[[Column], Column]:
+    """A UDF from texts to their chunks."""
+    kernels.check_sizes(size, overlap)
+    if protected:
+        return text_udf(lambda t: kernels.protected_split(t or "", protected, size, overlap), "array<string>")
+    return text_udf(lambda t: kernels.recursive_split(t or "", size, overlap, separators, merge), "array<string>")
 
 
 def recursive_chunks(df: DataFrame, size: int = 1000, overlap: int = 100, content: str = "content", id_col: str = "doc_id", **options: Any) -> DataFrame:
@@ -99,25 +128,17 @@ _MD = "array<struct<index:int,content:string,kind:string,level:int,parent:int,se
 
 def markdown_chunks(df: DataFrame, size: int = 1000, content: str = "content", id_col: str = "doc_id") -> DataFrame:
     """(id, index, content, kind, level, parent, section) of Markdown texts."""
-
-    @F.pandas_udf(_MD)
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: kernels.markdown_split(t or "", size))
-
+    split = text_udf(lambda t: kernels.markdown_split(t or "", size), _MD)
     return df.select(id_col, F.explode(split(F.col(content))).alias("c")).select(id_col, "c.*")
 
 
 def histogram(bins: int = 10) -> Callable[[Column], Column]:
-    """A pandas UDF from texts to histograms, of length one, of their character codes modulo ``bins``.
+    """A UDF from texts to histograms, of length one, of their character codes modulo ``bins``.
 
     Built-in functions can count them too, but need an array of all characters for each bin: 80 times the time.
     """
 
-    @F.pandas_udf("array<double>")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: character_histogram(t or "", bins))
-
-    return count
+    return text_udf(lambda t: character_histogram(t or "", bins), "array<double>")
 
 
 def character_histogram(text: str, bins: int = 10) -> np.ndarray:
@@ -131,19 +152,16 @@ def semantic_chunks(df: DataFrame, threshold: float = 0.5, content: str = "conte
     Sentences end at ". " or a newline; two are alike if the cosine of their histograms reaches the threshold.
     """
 
-    @F.pandas_udf("array<struct<content:string,n:bigint>>")
-    def split(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[dict[str, Any]]:
-            parts = [p for x in (text or "").replace("\n", ". ").split(". ") if (p := x.strip(tx.SPACES))]
-            if not parts:
-                return []
-            v = np.stack([character_histogram(p) for p in parts])
-            new = np.append(True, np.round(np.einsum("ij,ij->i", v[1:], v[:-1]), 9) < threshold)
-            first = np.flatnonzero(new).tolist()
-            return [{"content": ". ".join(parts[a:b]), "n": b - a} for a, b in zip(first, [*first[1:], len(parts)], strict=True)]
-
-        return texts.map(one)
+    def one(text: str | None) -> list[dict[str, Any]]:
+        parts = [p for x in (text or "").replace("\n", ". ").split(". ") if (p := x.strip(tx.SPACES))]
+        if not parts:
+            return []
+        v = np.stack([character_histogram(p) for p in parts])
+        new = np.append(True, np.round(np.einsum("ij,ij->i", v[1:], v[:-1]), 9) < threshold)
+        first = np.flatnonzero(new).tolist()
+        return [{"content": ". ".join(parts[a:b]), "n": b - a} for a, b in zip(first, [*first[1:], len(parts)], strict=True)]
 
+    split = text_udf(one, "array<struct<content:string,n:bigint>>")
     out = df.select(id_col, F.posexplode(split(F.col(content))).alias("part_index", "c"))
     return out.select(id_col, F.col("part_index").cast("bigint").alias("part_index"), "c.*")
 
@@ -173,11 +191,11 @@ _JSON = "struct<parts:array<struct<content:string,json_path:string,first:int,las
 def json_chunks(df: DataFrame, size: int = 1000, content: str = "content", id_col: str = "doc_id") -> DataFrame:
     """(id, part_index, content, json_path, first, last, count, error) of JSON texts; texts that are none give no row."""
 
-    @F.pandas_udf(_JSON)
-    def split(texts: pd.Series) -> pd.DataFrame:
-        found = [kernels.contained(lambda t: kernels.json_split(kernels.load_json(t or ""), size), t) for t in texts]
-        return pd.DataFrame({"parts": [a for a, _ in found], "error": [b for _, b in found]})
+    def one(text: str | None) -> dict[str, Any]:
+        parts, error = kernels.contained(lambda t: kernels.json_split(kernels.load_json(t or ""), size), text)
+        return {"parts": parts, "error": error}
 
+    split = text_udf(one, _JSON)
     out = df.select(id_col, split(F.col(content)).alias("s")).select(id_col, F.posexplode_outer("s.parts").alias("part_index", "c"), "s.error")
     return out.where("c IS NOT NULL OR error IS NOT NULL").select(id_col, "part_index", "c.*", "error")
 
@@ -189,23 +207,29 @@ CODE_SCHEMA = (
 )
 
 
-def code_chunks(files: DataFrame, source: str = "source", content: str = "content") -> DataFrame:
-    """(source, language, chunk_index, facts, error) of source files; the language goes by the extension, else Python."""
+def code_chunks(files: DataFrame, source: str = "source", content: str = "content", facts: list[str] | None = None) -> DataFrame:
+    """(source, language, chunk_index, error, facts) of source files; the language goes by the extension, else Python.
+
+    ``facts`` names those of CODE_SCHEMA that are wanted, all if it is None. The facts of a few files are held at a time.
+    """
     import pyspark.sql.types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = [f.name for f in T.StructType.fromDDL(CODE_SCHEMA)]
+    every = T.StructType.fromDDL(f"source string, language string, chunk_index int, error string, {CODE_SCHEMA}")
+    schema = T.StructType([f for i, f in enumerate(every) if i < 4 or facts is None or f.name in facts])
+    kinds = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, code in zip(pdf["source"], pdf["content"], strict=True):
-                language = kernels.language_of(path or "")
-                units, error = kernels.contained(kernels.code_units, code or "", language)
-                for i, u in enumerate(units or ([kernels._facts()] if error else [])):
-                    rows.append({"source": path, "language": language, "chunk_index": i, "error": error} | {k: u[k] for k in names})
-            yield pd.DataFrame(rows, columns=["source", "language", "chunk_index", "error", *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.column("content")):
+                rows = []
+                for path, code in zip(part.column("source").to_pylist(), part.column("content").to_pylist(), strict=True):
+                    language = kernels.language_of(path or "")
+                    units, error = kernels.contained(kernels.code_units, code or "", language)
+                    rows += [u | {"source": path, "language": language, "chunk_index": i, "error": error} for i, u in enumerate(units or ([kernels._facts()] if error else []))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in kinds], schema=kinds)
 
-    return files.select(F.col(source).alias("source"), F.col(content).alias("content")).mapInPandas(run, f"source string, language string, chunk_index int, error string, {CODE_SCHEMA}")
+    return files.select(F.col(source).alias("source"), F.col(content).alias("content")).mapInArrow(run, schema)
 
 
 def code_route(extension: Column | str) -> Column:
@@ -249,21 +273,18 @@ def line_sections(df: DataFrame, starts: str, content: str = "content", id_col:
     Sections are numbered by such lines: what is before the first has number 0.
     """
 
-    @F.pandas_udf("array<struct<section:bigint,content:string>>")
-    def split(texts: pd.Series) -> pd.Series:
-        begins = re.compile(starts)
-
-        def one(text: str | None) -> list[dict[str, Any]]:
-            if text is None:
-                return []
-            lines = text.split("\n")
-            first = [i for i, line in enumerate(lines) if begins.search(line)]
-            out = [(0, lines[: first[0] if first else len(lines)])] if not first or first[0] else []
-            out += [(k + 1, lines[a:b]) for k, (a, b) in enumerate(zip(first, [*first, len(lines)][1:], strict=True))]
-            return [{"section": k, "content": "\n".join(part)} for k, part in out]
+    begins = re.compile(starts)
 
-        return texts.map(one)
+    def one(text: str | None) -> list[dict[str, Any]]:
+        if text is None:
+            return []
+        lines = text.split("\n")
+        first = [i for i, line in enumerate(lines) if begins.search(line)]
+        out = [(0, lines[: first[0] if first else len(lines)])] if not first or first[0] else []
+        out += [(k + 1, lines[a:b]) for k, (a, b) in enumerate(zip(first, [*first, len(lines)][1:], strict=True))]
+        return [{"section": k, "content": "\n".join(part)} for k, part in out]
 
+    split = text_udf(one, "array<struct<section:bigint,content:string>>")
     return df.select(id_col, F.explode(split(F.col(content))).alias("c")).select(id_col, "c.*")
 
 

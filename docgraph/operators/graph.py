@@ -45,7 +45,11 @@ CODE_CLASS = {"class_header": "Class", "class": "Class", "method": "Method", "fu
 
 
 def code_nodes(chunks: DataFrame) -> DataFrame:
-    """Nodes of code chunks (see chunk.code_chunks), with a File node for every source."""
+    """Nodes of code chunks (see chunk.code_chunks), with a File node for every source.
+
+    Chunks are cut here, since units and files both read them: sources are parsed once.
+    """
+    chunks = cut(chunks)
     kind = F.lit("CodeBlock")
     for k, v in CODE_CLASS.items():
         kind = F.when(F.col("semantic_type") == k, v).otherwise(kind)
@@ -146,8 +150,15 @@ class CodeGraph:
     file, the unique one.
     """
 
-    def __init__(self, nodes: DataFrame) -> None:
-        nodes = cut(nodes)  # all rules read them: sources are parsed once
+    #: The facts that each rule reads, besides OF_ALL.
+    READS = {
+        "contains": [], "imports": ["imports"], "calls": ["calls"], "maybe_calls": ["attribute_calls"], "inherits": ["inherits_from"], "overrides": ["inherits_from"],
+        "uses_type": ["type_refs"], "mutates_global": ["module_vars", "globals_declared"], "raises": ["raises"], "exposes": ["module_all"],
+    }
+    OF_ALL = ["semantic_type", "symbol_name", "class_name", "is_async", "decorators"]
+
+    def __init__(self, nodes: DataFrame, held: bool = False) -> None:
+        nodes = nodes if held else cut(nodes)  # all rules read them; those of code_nodes are held already
         self.nodes = nodes
         self.symbols = nodes.where("symbol_name IS NOT NULL AND node_class IN ('Class', 'Function', 'Method')").select("node_id", "symbol_name", "file_path", "class_name", "node_class", "is_async", "decorators", "ord")
         self.classes = nodes.where("node_class = 'Class'")

@@ -88,8 +88,8 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.concat(F.lit("src/p"), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit("/m"), i, F.lit(".py")).alias("source"), text.alias("content"))
 
 
-def code_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.code_nodes(chunk.code_chunks(sources(spark, d)))
+def code_nodes(spark: SparkSession, d: str, *facts: str) -> DataFrame:
+    return graph.code_nodes(chunk.code_chunks(sources(spark, d), facts=[*graph.CodeGraph.OF_ALL, *facts]))
 
 
 S_FILES = "f AS (SELECT doc_id AS i, 'src/p' || (doc_id % 7) || '/m' || doc_id || '.py' AS path, 'code:src/p' || (doc_id % 7) || '/m' || doc_id || '.py' AS u FROM documents), g AS (SELECT a.i, a.u, b.i AS j, b.u AS w FROM f a JOIN f b ON b.i = a.i + 1)"
@@ -101,7 +101,7 @@ S_FILES = "f AS (SELECT doc_id AS i, 'src/p' || (doc_id % 7) || '/m' || doc_id |
     "SELECT path AS source, 'python' AS language, chunk_index, semantic_type, CASE WHEN named = 'go' THEN named ELSE named || i END AS symbol_name, class_named || i AS class_name, line_end FROM f, c",
 )
 def c17(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.code_chunks(sources(spark, d)).select("source", "language", "chunk_index", "semantic_type", "symbol_name", "class_name", "line_end")
+    return chunk.code_chunks(sources(spark, d), facts=["semantic_type", "symbol_name", "class_name", "line_end"]).select("source", "language", "chunk_index", "semantic_type", "symbol_name", "class_name", "line_end")
 
 
 S_UNITS = "['#CodeBlock_0', '#Base' || i, '#Base' || i || '.go', '#Base' || i || '.step' || i, '#later' || i, '#helper' || i, '#run' || i]"
@@ -120,7 +120,7 @@ def code_edges(name: str, rule: str, own: list[tuple[str, str]], other: list[tup
     """A query of one rule's edges over the modules of all documents; in SQL from its own units, and to the module it imports."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return getattr(graph.CodeGraph(code_nodes(spark, d)), rule)().select("source", "target", "type")
+        return getattr(graph.CodeGraph(code_nodes(spark, d, *graph.CodeGraph.READS[rule]), held=True), rule)().select("source", "target", "type")
 
     def unit(prefix: str, number: str, pattern: str) -> str:
         return f"'{pattern}'" if ":" in pattern else f"{prefix} || '" + pattern.replace("{}", f"' || {number} || '") + "'"

@@ -1,4 +1,4 @@
-"""Recipes: sources to graphs in one plan. A recipe runs nothing; the caller's writes do."""
+"""Recipes: sources to graphs in one plan. A recipe runs nothing but the cuts of ``structure``; the caller's writes do."""
 
 from __future__ import annotations
 
@@ -36,7 +36,7 @@ def standard(files: DataFrame, size: int = 1000, overlap: int = 100) -> tuple[Da
 def structure(files: DataFrame) -> Graph:
     """(nodes, edges) of source files (source, content)."""
     nodes = graph.code_nodes(chunk.code_chunks(files))
-    return nodes, graph.CodeGraph(nodes).edges()
+    return nodes, graph.CodeGraph(nodes, held=True).edges()
 
 
 def transfer(df: DataFrame, write: Callable[[DataFrame], None], refine_by: Callable[[DataFrame], DataFrame] | None = None) -> None:

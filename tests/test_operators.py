@@ -8,6 +8,7 @@ import sqlite3
 import uuid
 import zipfile
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -135,6 +136,41 @@ def test_score_card_and_rsi(spark):
     assert {x["rsi"] for x in an.rsi(flat, "v", ["k"], ["t"]).collect()} == {None}
 
 
+def test_slices_hold_a_few_texts():
+    """Pieces leave a Python worker slice by slice, by number and by bytes; a long text is a slice of its own."""
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 10] * 1100 + ["y" * (chunk.SLICE_BYTES + 5), None, "z"] + ["w" * (chunk.SLICE_BYTES // 2)] * 3)
+    got = list(chunk.slices(texts, texts))
+    assert pa.concat_arrays(got).equals(texts)
+    assert [len(g) for g in got] == [500, 500, 100, 1, 2 + 1, 2]
+    assert [len(g) for g in chunk.slices(texts.slice(1100, 2), texts.slice(1100, 2))] == [1, 1]
+
+
+def test_code_is_parsed_once(spark):
+    """Nodes of units and of files, and a rule over both, parse a source once."""
+    files_ = spark.range(3000).selectExpr("concat('m', id, '.py') AS source", "'def f():\\n    raise ValueError\\n' AS content").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+    units = kernels.code_units
+    counted = lambda code, language: (seen.add(1), units(code, language))[1]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(chunk, "kernels", SimpleNamespace(code_units=counted, language_of=kernels.language_of, contained=kernels.contained, _facts=kernels._facts))
+        nodes = graph.code_nodes(chunk.code_chunks(files_, facts=[*graph.CodeGraph.OF_ALL, "raises"]))
+        assert graph.CodeGraph(nodes, held=True).raises().count() == 3000 and nodes.count() == 6000
+    assert seen.value == 3000
+
+
+def test_code_facts_of_one_rule(spark):
+    """A rule's facts alone give the rule's edges."""
+    code = "import os\nfrom b import f\nX = 1\n__all__ = ['C']\nclass C(D):\n    @abstractmethod\n    def go(self, a: C):\n        global X\n        f()\n        self.go()\n        raise E\nclass D:\n    def go(self):\n        pass\n"
+    files_ = spark.createDataFrame([("a.py", code), ("b.py", "def f():\n    pass\n")], "source string, content string")
+    whole = graph.CodeGraph(graph.code_nodes(chunk.code_chunks(files_)))
+    for rule, facts in graph.CodeGraph.READS.items():
+        part = graph.CodeGraph(graph.code_nodes(chunk.code_chunks(files_, facts=[*graph.CodeGraph.OF_ALL, *facts])), held=True)
+        want = sorted(map(str, getattr(whole, rule)().collect()))
+        assert sorted(map(str, getattr(part, rule)().collect())) == want and (want or rule in ("uses_type", "maybe_calls"))
+
+
 def test_nearest_batch_brute(spark):
     x = np.random.default_rng(0).standard_normal((60, 8)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id int, embedding array<float>")
