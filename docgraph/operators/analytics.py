@@ -247,9 +247,9 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int = 5, features: str =
 
     Scores are rounded to six digits, and then to ``digits`` if these are fewer; ranks go by what is left, ties by id.
 
-    A batch of rows is scored against a block of queries at once in numpy, in the task that holds it, and only its k best
-    for each query leave: what is shuffled is queries x k x tasks. Queries are broadcast in blocks of at most ``block``,
-    each a scan of ``df``.
+    A batch of rows is scored against some queries at once in numpy, in the task that holds it, at most a million pairs at a
+    time, and only its k best for each query leave: what is shuffled is queries x k x tasks. Queries are broadcast in blocks
+    of at most ``block``, each a scan of ``df``.
     """
     found = None
     held: list[Any] = []
@@ -265,6 +265,10 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int = 5, features: str =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Pairs of a row and a query that a Python worker scores at a time.
+PAIRS = 1 << 20
+
+
 def _nearest_block(df: DataFrame, rows: list[Any], k: int, features: str, id_col: str, itself: bool, digits: int) -> DataFrame:
     import numpy as np
     import pandas as pd
@@ -285,19 +289,24 @@ def _nearest_block(df: DataFrame, rows: list[Any], k: int, features: str, id_col
             if not len(ids) or not len(pdf):
                 continue
             x = np.stack(pdf[features].to_numpy()).astype(np.float64)
-            squares = (x**2).sum(1)[:, None] + (q**2).sum(1)
-            rough = 1 - np.sqrt(np.maximum(0, squares - 2 * x @ q.T))
-            # what the product's errors and the rounding can move a score
-            margin = 1.1 * (10.0**-digits + 1e-6) + 2 * np.sqrt(4 * x.shape[1] * np.finfo(float).eps * squares.max(axis=0))
             own = pdf[id_col].to_numpy()
-            for j in range(len(ids)):
-                s = rough[:, j] if itself else np.where(own == ids[j], -np.inf, rough[:, j])
-                cut = np.partition(s, -k)[-k] - margin[j] if len(s) > k else -np.inf
-                near = np.flatnonzero((s >= cut) & (s > -np.inf))
-                exact = to_digits(1 - np.sqrt(np.cumsum((x[near] - q[j]) ** 2, axis=1)[:, -1]), 6)
-                if digits < 6:
-                    exact = to_digits(exact, digits)
-                best[j] = sorted(best.get(j, []) + list(zip((-exact).tolist(), own[near], strict=True)))[:k]
+            norms = (x**2).sum(1)[:, None]
+            step = max(1, PAIRS // len(x))
+            for at in range(0, len(ids), step):
+                part = q[at : at + step]
+                squares = norms + (part**2).sum(1)
+                # what the product's errors and the rounding can move a score
+                margin = 1.1 * (10.0**-digits + 1e-6) + 2 * np.sqrt(4 * x.shape[1] * np.finfo(float).eps * squares.max(axis=0))
+                squares -= 2 * x @ part.T
+                rough = 1 - np.sqrt(np.maximum(0, squares, out=squares), out=squares)
+                for j in range(at, at + len(part)):
+                    s = rough[:, j - at] if itself else np.where(own == ids[j], -np.inf, rough[:, j - at])
+                    cut = np.partition(s, -k)[-k] - margin[j - at] if len(s) > k else -np.inf
+                    near = np.flatnonzero((s >= cut) & (s > -np.inf))
+                    exact = to_digits(1 - np.sqrt(np.cumsum((x[near] - q[j]) ** 2, axis=1)[:, -1]), 6)
+                    if digits < 6:
+                        exact = to_digits(exact, digits)
+                    best[j] = sorted(best.get(j, []) + list(zip((-exact).tolist(), own[near], strict=True)))[:k]
         yield pd.DataFrame([(ids[j], i, -s) for j, found in best.items() for s, i in found], columns=["query_id", id_col, "score"])
 
     return df.where(F.col(features).isNotNull()).select(id_col, features).mapInPandas(run, f"query_id {kind}, {id_col} {kind}, score double")

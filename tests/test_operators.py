@@ -5,6 +5,7 @@ import json
 import math
 import re
 import sqlite3
+import tracemalloc
 import uuid
 import zipfile
 import zlib
@@ -364,6 +365,25 @@ def test_nearest_batch_in_blocks(spark):
         assert [j for _, j in sorted(got[i])] == [j for _, j in order]
 
 
+def test_nearest_batch_scores_a_part_at_a_time(spark, monkeypatch):
+    """The pairs that are scored at once don't grow with the queries; the results are those of all at once."""
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.standard_normal(8)]) for i in range(400)], "vec_id long, embedding array<double>").coalesce(1)
+    want = sorted(map(tuple, an.nearest_batch(df, df, 3, itself=False, digits=5).collect()))
+    monkeypatch.setattr(an, "PAIRS", 1000)
+    assert sorted(map(tuple, an.nearest_batch(df, df, 3, itself=False, digits=5).collect())) == want
+
+    held = []
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: held.append(run) or self.limit(0).selectExpr("vec_id AS query_id", "vec_id", "0D AS score"))
+    an.nearest_batch(df, df, 3)
+    pdf = df.toPandas()
+    tracemalloc.start()
+    rows = sum(len(x) for x in held[0](iter([pdf])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1200 and peak < 1_500_000  # 400 x 400 scores alone are 1.3 MB, and were held several times
+
+
 def test_topics_count_every_word(spark):
     df = spark.createDataFrame([(i, f"common once{i}") for i in range(6)] + [(9, "unseen"), (10, "...")], "doc_id long, content string")
     out = chunk.topic_chunks(df, topics=2)
